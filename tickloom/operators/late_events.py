@@ -15,16 +15,16 @@ CUTOFF_S = 180
 
 #: All records with both times: src, key (contract), event and arrival time, place among equal arrivals, value, key of the row.
 RECORDS = """
-SELECT 'market_data' AS src, contract AS k, exchtime AS ev, `timestamp` AS arr, row_id AS ord, CAST(row_id AS STRING) AS row_key, lastpx AS v
+SELECT 'market_data' AS src, contract AS k, exchtime AS ev, `timestamp` AS arr, row_id AS ord, CAST(row_id AS STRING) AS row_key, CASE WHEN abs(lastpx) < 1e11 THEN CAST(lastpx AS DECIMAL(18, 6)) END AS v
 FROM {market_data} WHERE exchtime IS NOT NULL AND `timestamp` IS NOT NULL
 UNION ALL
-SELECT 'snapshots', product, exchange_ts, available_at, feed_seq, snapshot_id, CAST(NULL AS DOUBLE)
+SELECT 'snapshots', product, exchange_ts, available_at, feed_seq, snapshot_id, CAST(NULL AS DECIMAL(18, 6))
 FROM (SELECT DISTINCT snapshot_id, feed_seq, product, exchange_ts, available_at FROM {snapshots} WHERE exchange_ts IS NOT NULL AND available_at IS NOT NULL)
 """
 
 CELLS = """
 SELECT src, k, date_trunc('MINUTE', ev) AS ev_minute, date_trunc('MINUTE', arr) AS arr_minute,
-       count(*) AS n, count(v) AS n_v, sum(CAST(v AS DECIMAL(38, 6))) AS sum_v, max(ev) AS last_ev
+       count(*) AS n, count(v) AS n_v, sum(v) AS sum_v, max(ev) AS last_ev
 FROM records GROUP BY 1, 2, 3, 4
 """
 
@@ -50,7 +50,7 @@ REVISIONS = """
 SELECT src, k, ev_minute, arr_minute, row_number() OVER seen AS revision, sum(n) OVER upto AS n, sum(n_v) OVER upto AS n_v, sum(sum_v) OVER upto AS sum_v,
        arr_minute = max(arr_minute) OVER (PARTITION BY src, k, ev_minute) AS is_final
 FROM (
-  SELECT src, k, date_trunc('MINUTE', ev) AS ev_minute, date_trunc('MINUTE', arr) AS arr_minute, count(*) AS n, count(v) AS n_v, sum(CAST(v AS DECIMAL(38, 6))) AS sum_v
+  SELECT src, k, date_trunc('MINUTE', ev) AS ev_minute, date_trunc('MINUTE', arr) AS arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS sum_v
   FROM (SELECT r.* FROM records r LEFT ANTI JOIN (SELECT src, row_key, k, ev, arr FROM found WHERE status = 'too_late') f
         ON r.src = f.src AND r.k <=> f.k AND r.ev = f.ev AND r.arr = f.arr AND r.row_key = f.row_key)
   GROUP BY 1, 2, 3, 4
@@ -82,7 +82,7 @@ def late_records(market_data: DataFrame, snapshots: DataFrame, cutoff_s: int = C
 def corrected_aggregates(market_data: DataFrame, snapshots: DataFrame, cutoff_s: int = CUTOFF_S) -> DataFrame:
     """(src, k, ev_minute, arr_minute, revision, n, n_v, sum_v, is_final): every revision of every minute's count and sum.
 
-    Records that are too late are in none. ``sum_v`` sums ``lastpx`` exactly to six decimals and is null where there
-    is none (always for snapshots). A minute without records has no row.
+    Records that are too late are in none. ``sum_v`` sums the ``n_v`` values of ``lastpx`` under 1e11 in size
+    (larger ones are no prices) exactly to six decimals; it is null where there is none (always for snapshots). A minute without records has no row.
     """
     return _query(market_data, snapshots, "revisions", cutoff_s)

@@ -100,7 +100,7 @@ tagged AS (
 slots AS (
   SELECT contract, d, w, s, arg_max(lastpx, (exchtime, row_id)) FILTER (lastpx IS NOT NULL) AS lastpx, arg_max(openinterest, (exchtime, row_id)) FILTER (openinterest IS NOT NULL) AS openinterest
   FROM tagged WHERE w IS NOT NULL GROUP BY ALL),
-ends AS (SELECT contract, d, w, unnest(range(min(s), max(s) + 1)) AS s FROM slots GROUP BY ALL),
+ends AS (SELECT contract, d, w, unnest(range(lo, hi + 1)) AS s FROM (SELECT contract, d, w, min(s) AS lo, max(s) AS hi FROM slots GROUP BY ALL)),
 full_grid AS (SELECT e.contract, strftime(CAST(e.d AS TIMESTAMP) + to_seconds(10 * e.s), '%Y-%m-%d %H:%M:%S') AS slot, g.lastpx, CAST(g.openinterest AS DOUBLE) AS openinterest
   FROM ends e LEFT JOIN slots g ON e.contract IS NOT DISTINCT FROM g.contract AND e.d = g.d AND e.w = g.w AND e.s = g.s),
 long AS (SELECT contract, slot, 'lastpx' AS field, lastpx AS value FROM full_grid UNION ALL SELECT contract, slot, 'openinterest', openinterest FROM full_grid)
@@ -126,7 +126,7 @@ judged AS (
 
 _LATE = """
 WITH records AS (
-  SELECT 'market_data' AS src, contract AS k, exchtime AS ev, "timestamp" AS arr, row_id AS ord, CAST(row_id AS VARCHAR) AS row_key, CAST(lastpx AS DOUBLE) AS v
+  SELECT 'market_data' AS src, contract AS k, exchtime AS ev, "timestamp" AS arr, row_id AS ord, CAST(row_id AS VARCHAR) AS row_key, CASE WHEN abs(lastpx) < 1e11 THEN CAST(lastpx AS DECIMAL(18, 6)) END AS v
   FROM market_data WHERE exchtime IS NOT NULL AND "timestamp" IS NOT NULL
   UNION ALL
   SELECT 'snapshots', product, exchange_ts, available_at, feed_seq, snapshot_id, NULL
@@ -165,9 +165,9 @@ SQL: dict[str, str] = {
     "p3_report": _ORPHANS + "SELECT ref_field, ref_table, CAST(t AS DATE) AS period, status, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM judged WHERE status IS NOT NULL GROUP BY ALL",
     "p4_found": _LATE + "SELECT src, row_key, status FROM judged WHERE status IS NOT NULL",
     "p4_revisions": _LATE + """, cells AS (
-  SELECT src, k, date_trunc('minute', ev) AS ev_minute, date_trunc('minute', arr) AS arr_minute, count(*) AS n, count(v) AS n_v, sum(CAST(v AS DECIMAL(38, 6))) AS s
+  SELECT src, k, date_trunc('minute', ev) AS ev_minute, date_trunc('minute', arr) AS arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS s
   FROM judged WHERE status IS DISTINCT FROM 'too_late' GROUP BY ALL)
-SELECT src, k AS contract, ev_minute, arr_minute, row_number() OVER w AS revision, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(n_v) OVER w AS BIGINT) AS n_v, CAST(sum(s) OVER w AS VARCHAR) AS sum_v,
+SELECT src, k AS contract, ev_minute, arr_minute, row_number() OVER w AS revision, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(n_v) OVER w AS BIGINT) AS n_v, CAST(CAST(sum(s) OVER w AS DECIMAL(38, 6)) AS VARCHAR) AS sum_v,
        arr_minute = max(arr_minute) OVER (PARTITION BY src, k, ev_minute) AS is_final
 FROM cells WINDOW w AS (PARTITION BY src, k, ev_minute ORDER BY arr_minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "p5_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
