@@ -84,20 +84,26 @@ def parsed(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("line_i
     # A separator that no line holds keeps line ends inside a line as text of its fields.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "quote": '"', "maxColumns": "1000000", "lineSep": "\u0001", "nullValue": "", "emptyValue": ""}
     body = lines.where(F.col(ordinal).isNull() | (F.col(ordinal) != 0)).select(*key, F.coalesce(F.col(line), F.lit("")).alias("raw"))
+    body = _computed(body, bad_quoting(F.col("raw")).alias("_quoting"))
     # What the permissive read would balk at is told apart before it: the read sees only lines of sane quoting and width.
     width = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit(","), F.lit("")))
-    body = body.withColumn("_quoting", bad_quoting(F.col("raw")))
     sane = ~F.col("_quoting") & (F.col("raw").contains('"') | (width == len(COLUMNS) - 1))
-    body = body.withColumn("_f", F.from_csv(F.when(sane, F.col("raw")), schema, options))
-    miscounted = ~sane | F.col(f"_f.{CORRUPT}").isNotNull() | F.col("_f").isNull()
-    body = body.withColumn("_v", F.struct(*[trimmed(F.col(f"_f.`{c}`")).alias(c) for c in COLUMNS]))
-    body = body.withColumn("_t", F.struct(*[typed(c, F.col(f"_v.`{c}`")).alias(c) for c in COLUMNS]))
+    body = _computed(body, F.from_csv(F.when(sane, F.col("raw")), schema, options).alias("_f"))
+    miscounted = F.col("_f").isNull() | F.col(f"_f.`{CORRUPT}`").isNotNull()
+    body = _computed(body, miscounted.alias("_miscounted"), *[trimmed(F.col(f"_f.`{c}`")).alias(f"v_{c}") for c in COLUMNS]).drop("_f")
+    body = _computed(body, *[typed(c, F.col(f"v_{c}")).alias(f"t_{c}") for c in COLUMNS])
     invalid = F.lit(False)
     for c in COLUMNS:
-        invalid = invalid | (F.col(f"_v.`{c}`").isNotNull() & F.col(f"_t.`{c}`").isNull())
-    reason = F.when(F.col("_quoting"), "quoting").when(miscounted, "column_count").when(invalid, "invalid_value")
-    body = body.withColumn("reason", reason)
-    return body.select(*key, "raw", "reason", *[F.when(F.col("reason").isNull(), F.col(f"_t.`{c}`")).alias(c) for c in COLUMNS])
+        invalid = invalid | (F.col(f"v_{c}").isNotNull() & F.col(f"t_{c}").isNull())
+    reason = F.when(F.col("_quoting"), "quoting").when(F.col("_miscounted"), "column_count").when(invalid, "invalid_value")
+    body = _computed(body, reason.alias("reason"))
+    return body.select(*key, "raw", "reason", *[F.when(F.col("reason").isNull(), F.col(f"t_{c}")).alias(c) for c in COLUMNS])
+
+
+def _computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """With further columns, computed once: a generator of one row keeps the optimiser from inlining them into
+    every later use, which would parse each line many times over."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def rejected(lines: DataFrame) -> DataFrame:
