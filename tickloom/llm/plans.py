@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import encoding, mixing
+from tickloom.llm import encoding, mixing, spam
 from tickloom.sources.tables import table
 
 
@@ -34,6 +34,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p6_ids, p6_round_trip, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents", "doc_id", "text", "lang")).select(F.col("row_key").alias("doc_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p6_ids, p6_round_trip, p7_mix, p7_report, p8_found)}
 
 SQL: dict[str, str] = {"p6_round_trip": "SELECT doc_id FROM documents WHERE false"}
