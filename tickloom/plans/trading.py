@@ -256,7 +256,7 @@ def capacity_running(spark, d):
     return rows.withColumn("amount", amount).select("row_id", F.sum("amount").over(w).alias("reserved"))
 
 
-_TERMINAL = ("filled", "cancelled", "rejected", "expired", "failed")
+_TERMINAL = ("filled", "cancelled", "rejected", "expired", "failed", "stale", "no_liquidity")
 
 
 @query(f"SELECT order_id, count(*) FILTER (record_type <> 'order_declared') AS n_states FROM order_records WHERE order_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (lifecycle_state IN {_TERMINAL}) = 0")
