@@ -129,7 +129,7 @@ class Settings:
     words; ``mostly``, ``times``, ``part``: of the exact check; ``fewest``: documents for a fit of a language's own."""
 
     shortest: int = 60
-    outlier: float = 11.07
+    outlier: float = 6.63
     core: float = 60.0
     odds: float = 3.0
     least_share: float = 0.0002
