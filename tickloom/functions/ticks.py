@@ -9,10 +9,11 @@ LEVELS = 5
 
 
 def snapped(px: Column, tick: Column | float) -> Column:
-    """The price on the tick grid, half up in decimal; the price itself where it is over a tenth of a tick off."""
+    """The price on the tick grid, half up in decimal; the price itself where it is over a tenth of a tick off
+    or too large for the grid."""
     t = F.lit(tick) if isinstance(tick, float) else tick
-    steps = F.round((px.cast("decimal(18,6)") / t.cast("decimal(18,6)")).cast("decimal(28,8)"), 0)
-    on = (steps.cast("decimal(20,0)") * t.cast("decimal(18,6)")).cast("double")
+    steps = F.round(F.try_divide(px.try_cast("decimal(18,6)"), t.cast("decimal(18,6)")).try_cast("decimal(28,8)"), 0)
+    on = (steps.try_cast("decimal(20,0)") * t.cast("decimal(18,6)")).cast("double")
     return F.when(F.abs(on - px) <= t / 10, on).otherwise(px)
 
 
