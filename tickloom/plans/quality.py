@@ -158,7 +158,25 @@ judged AS (SELECT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(g) <> {len
   WHEN NOT ({" AND ".join(f"(g[{i + 1}] = '' OR coalesce(" + _CHECKS[_kind(c)].replace("(x,", f"(g[{i + 1}],").replace("(x[", f"(g[{i + 1}][").replace("(x ", f"(g[{i + 1}] ") + ", false))" for i, c in enumerate(raw_lines.COLUMNS))}) THEN 'invalid_value' END AS reason FROM fields)
 """
 
+_GROUPS = " OR ".join(f"(k = {k} AND len(arr) >= {k + 2} AND CASE WHEN field <> 'totalvol' THEN len(list_filter(arr[2:{k + 1}], lambda x: abs(x - arr[1]) > 25 * step AND abs(x - arr[{k + 2}]) > 25 * step)) = {k}"
+                      f" ELSE arr[1] <= arr[{k + 2}] AND (list_max(arr[2:{k + 1}]) < arr[1] OR list_min(arr[2:{k + 1}]) > arr[{k + 2}]) END)" for k in range(1, 7))
+_IMPLAUSIBLE = f"""
+WITH md AS (SELECT row_id, contract, CAST(exchtime AS DATE) AS d, exchtime AS t, bidpx0, askpx0, lastpx, CAST(totalvol AS DOUBLE) AS totalvol FROM market_data WHERE exchtime IS NOT NULL),
+long AS (SELECT row_id, contract, d, t, 'bidpx0' AS field, bidpx0 AS v FROM md UNION ALL SELECT row_id, contract, d, t, 'askpx0', askpx0 FROM md UNION ALL SELECT row_id, contract, d, t, 'lastpx', lastpx FROM md UNION ALL SELECT row_id, contract, d, t, 'totalvol', totalvol FROM md),
+rd AS (SELECT contract, d, field, t, arg_min(v, row_id) AS v FROM long WHERE v IS NOT NULL GROUP BY ALL),
+seq AS (SELECT *, row_number() OVER w AS n, lag(v) OVER w AS pv, list(v) OVER (PARTITION BY contract, d, field ORDER BY t ROWS BETWEEN 1 PRECEDING AND 6 FOLLOWING) AS arr FROM rd WINDOW w AS (PARTITION BY contract, d, field ORDER BY t)),
+steps AS (SELECT contract, field, median(abs(v - pv)) AS step FROM seq WHERE pv IS NOT NULL AND v <> pv GROUP BY 1, 2),
+hits AS (SELECT contract, d, field, unnest(range(n, n + k)) AS n FROM (SELECT s.*, st.step, unnest([1, 2, 3, 4, 5, 6]) AS k FROM seq s JOIN steps st ON s.contract IS NOT DISTINCT FROM st.contract AND s.field = st.field WHERE s.n > 1) q WHERE {_GROUPS}),
+runs AS (SELECT contract, d, field, min(n) AS n1, max(n) AS n2, min(t) AS t1, max(t) AS t2 FROM (SELECT *, sum(CASE WHEN v IS DISTINCT FROM pv THEN 1 ELSE 0 END) OVER (PARTITION BY contract, d, field ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM seq) GROUP BY contract, d, field, g HAVING count(*) >= 25),
+lively AS (SELECT r.contract, r.d, r.field, r.n1, r.n2 FROM runs r JOIN md m ON r.contract IS NOT DISTINCT FROM m.contract AND r.d = m.d AND m.t BETWEEN r.t1 AND r.t2 GROUP BY ALL
+  HAVING (r.field = 'bidpx0' OR count(DISTINCT bidpx0) >= 5) AND (r.field = 'askpx0' OR count(DISTINCT askpx0) >= 5) AND (r.field = 'lastpx' OR count(DISTINCT lastpx) >= 5) AND (r.field = 'totalvol' OR count(DISTINCT totalvol) >= 5)),
+cases AS (SELECT contract, d, field, n FROM seq WHERE CASE WHEN field = 'totalvol' THEN v < 0 ELSE v <= 0 END UNION SELECT * FROM hits UNION SELECT contract, d, field, unnest(range(n1 + 1, n2 + 1)) FROM lively)
+SELECT DISTINCT l.row_id, l.field FROM cases c JOIN seq s ON c.contract IS NOT DISTINCT FROM s.contract AND c.d = s.d AND c.field = s.field AND c.n = s.n
+JOIN long l ON l.contract IS NOT DISTINCT FROM s.contract AND l.d = s.d AND l.field = s.field AND l.t = s.t AND l.v IS NOT NULL
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _IMPLAUSIBLE,
     "p2_found": _SLOTS + "SELECT contract, slot, field FROM long WHERE value IS NULL",
     "p2_values": _SLOTS + "SELECT contract, slot, field, value FROM long",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_field, row_key, status FROM judged WHERE status IS NOT NULL",
