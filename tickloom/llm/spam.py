@@ -49,7 +49,7 @@ LEAST_SCALE = np.array([0.03, 0.02, 0.02, 0.02, 0.03])
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_WORDS.values())
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_LINK = re.compile(r"(?:https?://|www\.)[^\s()<>\[\]]+|(?<![\w.@])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s()<>\[\]]*)?(?![\w.])", re.I)
+_LINK = re.compile(r"(?:https?://|www\.)[^\s()<>\[\]]+|(?<![\w.@-])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s()<>\[\]]*)?(?![\w.])", re.I)
 _ANGLE = re.compile(r"<[^<>\n]{1,60}>")
 _TAG = re.compile(r"#\w[\w'’-]*")
 _BREAK = r"[.!?…](?=[\s\"'»”“)]|$)|[。！？；，,;|/•·\n]|\s-\s|->|\*"
