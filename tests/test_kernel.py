@@ -7,10 +7,12 @@ from hypothesis import strategies as st
 
 from tickloom.kernel.depth import DepthBook, take_at_touch
 from tickloom.kernel.lifecycle import Lifecycle
+from tickloom.kernel.pair import Book, PairReplay, Terms
 from tickloom.kernel.passive import Maker, PassiveMatcher
 from tickloom.kernel.policies import Hysteresis
 from tickloom.kernel.positions import Position
-from tickloom.kernel.queue import QueueMarket, Tick
+from tickloom.kernel.queue import Fill, QueueMarket, Tick
+from tickloom.kernel.quoting import flatten, hedge, requote, unwind
 from tickloom.kernel.spark import hysteresis_trades, position_costs, replay
 
 
@@ -142,6 +144,45 @@ def test_hysteresis():
     assert [h.next(z) for z in (None, 1, 3, 1, -3, 0.4, -2.5)] == [0, 0, -1, -1, -1, 0, 1]
 
 
+def test_quoting():
+    m = market()
+    a, b = m.place(1, 100, 3), m.place(1, 98, 4)
+    assert requote(m, 1, [99, 97]) == 7 and {p: sum(o.qty for o in v) for p, v in m.books[1].items()} == {99: 4, 97: 3}
+    assert requote(m, 1, [99, 97]) == 0 and requote(m, -1, []) == 0
+    unwind(m, Fill(9, 1, 100, 2, "passive_queue", 0))
+    unwind(m, Fill(9, 1, 100, 2, "passive_queue", 0))
+    assert [o.qty for o in m.books[-1][101]] == [2]
+    f = hedge(m, -30, 1)
+    assert f.px == (25 * 100 + 4 * 99) / 29 and f.qty == 29 and hedge(m, 0) is None
+    p = Position()
+    p.fill(90, 2)
+    assert flatten(m, p) == 20 and p.qty == 0 and m.books == {1: {}, -1: {}}
+    del a, b
+
+
+def test_pair_replay():
+    book = lambda row, px: Book(row, [(px, 4), (px - 1, 9)], [(px + 1, 4), (px + 2, 9)])
+    r = PairReplay(Terms(qty=2, patience=50))
+    r.step(book(1, 100), book(2, 50), [])  # decides; nothing can match yet
+    r.step(book(3, 100), None, [(100, 99)])  # arrives after this interval
+    assert r.ledger == []
+    r.step(book(4, 100), None, [(100, 6)])  # 4 ahead, then 2 of ours; the hedge follows
+    assert [(x[1], x[2], x[4], x[5]) for x in r.ledger] == [("quoted", "maker", 2, 100), ("hedge", "hedge", -2, 50)]
+    r.step(book(5, 100), None, [(101, 6)])
+    assert r.position == {"quoted": 0, "hedge": 0} and r.ledger[-1][5] == 51
+    assert r.finish() == "flat" and r.life.reserved == 0
+    s = PairReplay(Terms(qty=9, capacity=8))
+    s.step(book(1, 100), book(2, 50), [])
+    assert not s.waiting and s.finish() == "flat"  # over the capacity
+    t = PairReplay(Terms(qty=6))
+    for n in range(2):
+        t.step(book(n, 100), book(n, 50), [])
+    t.step(book(9, 100), None, [(100, 10)])
+    assert t.position == {"quoted": 6, "hedge": -6} and t.ledger[-1][5] == (50 * 2 + 49 * 4) / 6
+    t.step(None, None, [])  # carried books don't replenish
+    assert t.finish() == "flat"
+
+
 def test_groups(spark):
     t = dt.datetime(2024, 1, 25, 9)
     fills = [(f"f{i}", "A" if i % 2 else None, t + dt.timedelta(seconds=i // 3), float(100 + i), (-1) ** i * (i % 4)) for i in range(30)] + [("n", "A", t, None, 1)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.kernel.depth import DepthBook
+from tickloom.kernel.pair import Book, PairReplay, Terms
 from tickloom.kernel.policies import Hysteresis, JoinTouch
 from tickloom.kernel.positions import Position
 from tickloom.kernel.queue import QueueMarket, Tick
@@ -119,3 +120,35 @@ def hysteresis_trades(series: DataFrame, enter: float, leave: float) -> DataFram
     return rows.groupBy("contract", "day").applyInArrow(run, "contract string, entry_row long, exit_row long, side long, pnl_ticks long")
 
 
+
+
+LEDGER = "pair_id string, day date, seq int, batch int, leg string, source string, order_key string, delta long, px double, status string, quoted_pos long, hedge_pos long"
+
+
+def pair_replay(batches: DataFrame, terms: Terms) -> DataFrame:
+    """The ledger of the strict replay of every pair and day, one row per effect in order (``seq``), and a last one of source ``end`` with
+    the disposition as its status. ``batches``: pair_id, day, exchtime, and per leg (quoted, hedge) row_id, bids, asks and traded, carried forward."""
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        play, last = PairReplay(terms), {}
+        for r in _sorted(table, "exchtime"):
+            fresh = {}
+            for leg in ("quoted", "hedge"):
+                row = r[f"{leg}_row_id"]
+                if row is not None and row != last.get(leg):
+                    fresh[leg] = Book(row, *[[(x["ticks"], x["quantity"]) for x in r[f"{leg}_{side}"]] for side in ("bids", "asks")])
+                    last[leg] = row
+            traded = [(x["ticks"], x["quantity"]) for x in r["quoted_traded"] or ()] if "quoted" in fresh else []
+            play.step(fresh.get("quoted"), fresh.get("hedge"), traded)
+        end = play.finish()
+        rows = [*play.ledger, (play.batch, None, "end", None, 0, None, end, play.position["quoted"], play.position["hedge"])]
+        n = len(rows)
+        cols = list(zip(*rows, strict=True))
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64())
+        names = ("batch", "leg", "source", "order_key", "delta", "px", "status", "quoted_pos", "hedge_pos")
+        return pa.table({
+            "pair_id": pa.array([group[0].as_py()] * n, pa.string()), "day": pa.array([group[1].as_py()] * n, pa.date32()), "seq": pa.array(range(n), pa.int32()),
+            **{c: pa.array(v, k) for c, v, k in zip(names, cols, kinds, strict=True)},
+        })
+
+    return batches.groupBy("pair_id", "day").applyInArrow(run, LEDGER)

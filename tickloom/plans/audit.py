@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ticks
@@ -143,3 +143,28 @@ def hedge_residuals(spark, d):
     )
     q, h, wq, wh = F.col("quoted"), F.col("hedge"), F.col("wq"), F.col("wh")
     return out.select("pair_id", "quoted", "hedge", stress.hedge_target(q, wq, wh).alias("target"), stress.residual_risk(q, h, wq, wh).alias("residual"))
+
+
+@query("SELECT DISTINCT row_id, 'sha256:' || sha256(array_to_string(list_sort(list_distinct(CAST(json(coalesce(signals, '[]')) AS VARCHAR[]))), ',')) AS signal_set_hash FROM decisions")
+def signal_set_hash(spark, d):
+    """Digest of the set of signals that a decision consumed, in whatever order it names them."""
+    ids = F.array_sort(F.array_distinct(F.coalesce(F.from_json("signals", "array<string>"), F.from_json(F.lit("[]"), "array<string>"))))
+    return table(spark, d, "decisions", "row_id", "signals").select("row_id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(ids, ","), 256)).alias("signal_set_hash")).distinct()
+
+
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL THEN 'no_quantity' WHEN value <= 0 THEN 'no_price' END AS issue FROM events""")
+def payload_decode(spark, d):
+    """Event payloads decoded to their typed field, with what is wrong with them."""
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, d, "events", "event_id", "props", "value").select("event_id", k.alias("k"), F.when(k.isNull(), "no_quantity").when(F.col("value") <= 0, "no_price").alias("issue"))
+
+
+@query("""WITH r AS (SELECT DISTINCT * FROM fills WHERE fill_ts IS NOT NULL), j AS (SELECT r.fill_id, r.fill_ts, i.pair_id, CASE WHEN i.leg = 'quoted' THEN position_delta ELSE 0 END AS q, CASE WHEN i.leg = 'hedge' THEN position_delta ELSE 0 END AS h FROM r JOIN instruments i USING (product))
+ SELECT fill_id, CAST(sum(q) OVER w + sum(h) OVER w AS BIGINT) AS residual FROM j WINDOW w AS (PARTITION BY pair_id, CAST(fill_ts AS DATE) ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_residual(spark, d):
+    """What both legs of a pair leave open after every fill of a day."""
+    i = table(spark, d, "instruments", "product", "pair_id", "leg")
+    rows = table(spark, d, "fills").distinct().where("fill_ts is not null").join(F.broadcast(i), "product")  # 60 fixed rows
+    w = Window.partitionBy("pair_id", F.to_date("fill_ts")).orderBy("fill_ts", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
+    one = F.lit(1)
+    return rows.select("fill_id", stress.residual_risk(*[F.sum(F.when(F.col("leg") == leg, F.col("position_delta")).otherwise(0)).over(w) for leg in ("quoted", "hedge")], one, one).alias("residual"))

@@ -323,3 +323,39 @@ def reconcile_fills(spark, d):
     fills = table(spark, d, "fills").distinct().where("order_id is not null").groupBy("order_id").agg(F.sum("quantity").alias("qty"))
     records = table(spark, d, "order_records", "order_id", "filled_qty").where("order_id is not null").groupBy("order_id").agg(F.max("filled_qty").alias("qty"))
     return alignment.reconciled(fills, records, ("order_id",), ("qty",))
+
+
+@query(_MD + f""" SELECT row_id FROM md WHERE hour(exchtime) IN (9, 10, 13, 14, 21) AND {_IT('askpx0')} - {_IT('bidpx0')} BETWEEN 1 AND 3 AND bidvol0 >= 5 AND askvol0 >= 5""")
+def entry_filter(spark, d):
+    """Rows on which a taker may enter: hour, spread of one to three ticks, quantity at both touches."""
+    t = ticks.in_ticks
+    spread = t(F.col("askpx0"), F.col("tick")) - t(F.col("bidpx0"), F.col("tick"))
+    return md(spark, d).where(F.hour("exchtime").isin(9, 10, 13, 14, 21) & spread.between(1, 3) & (F.col("bidvol0") >= 5) & (F.col("askvol0") >= 5)).select("row_id")
+
+
+@query(_MD + " SELECT row_id, CAST(least(7, round_even(askvol0 * 0.5::DOUBLE, 0)) AS BIGINT) AS buys, CAST(least(7, round_even(bidvol0 * 0.5::DOUBLE, 0)) AS BIGINT) AS sells FROM md WHERE askvol0 IS NOT NULL AND bidvol0 IS NOT NULL")
+def fill_or_kill(spark, d):
+    """What a fill-or-kill order of seven lots gets at either touch: half of the quantity, half to even."""
+    rows = md(spark, d).where("askvol0 is not null and bidvol0 is not null")
+    take = lambda c: F.least(F.lit(7.0), F.bround(F.col(c) * 0.5, 0)).cast("long")
+    return rows.select("row_id", take("askvol0").alias("buys"), take("bidvol0").alias("sells"))
+
+
+@query("""WITH f AS (SELECT DISTINCT fill_id, product, fill_ts FROM fills WHERE fill_ts IS NOT NULL AND product IS NOT NULL),
+ q AS (SELECT DISTINCT contract, exchtime FROM market_data WHERE contract IS NOT NULL AND exchtime IS NOT NULL),
+ a AS (SELECT f.*, q.exchtime FROM f ASOF LEFT JOIN q ON f.product = q.contract AND f.fill_ts >= q.exchtime)
+ SELECT fill_id, (epoch_us(fill_ts) - epoch_us(exchtime)) / 1e6 AS age_s FROM a WHERE exchtime IS NULL OR epoch_us(fill_ts) - epoch_us(exchtime) > 60000000""")
+def stale_executions(spark, d):
+    """Fills whose product had no book in the minute before, with the age of the latest one (null: none at all)."""
+    fills = table(spark, d, "fills").where("fill_ts is not null and product is not null").select("fill_id", F.col("product").alias("contract"), "fill_ts").distinct()
+    out = alignment.asof_backward(fills, table(spark, d, "market_data", "contract", "exchtime", "row_id"), "contract", "fill_ts", "exchtime", ("row_id",), "row_id")
+    age = clock.seconds_between(F.col("asof_exchtime"), F.col("fill_ts"))
+    return out.withColumn("age_s", age).where("age_s is null or age_s > 60").select("fill_id", "age_s")
+
+
+@query("""SELECT o.o_orderkey, coalesce(l.label, 'unknown') AS label FROM orders o LEFT JOIN (VALUES ('1-URGENT', 'fast'), ('2-HIGH', 'fast'), ('5-LOW', 'slow')) l(p, label) ON o.o_orderpriority = l.p""")
+def label_lookup(spark, d):
+    """A small map joined on, with a default."""
+    labels = spark.createDataFrame([("1-URGENT", "fast"), ("2-HIGH", "fast"), ("5-LOW", "slow")], "p string, label string")
+    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    return o.join(F.broadcast(labels), F.col("o_orderpriority") == F.col("p"), "left").select("o_orderkey", F.coalesce("label", F.lit("unknown")).alias("label"))  # three rows

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.functions import ticks
 from tickloom.kernel import lifecycle
 from tickloom.kernel import spark as kernel
-from tickloom.operators import alignment, cleaning, reports, signals
+from tickloom.kernel.pair import Terms
+from tickloom.operators import alignment, cleaning, integrity, reports, signals
 from tickloom.plans import market
 from tickloom.sources.tables import table
 from tickloom.streaming import streams
@@ -94,6 +95,42 @@ def depth_execution(spark, d):
     return kernel.execute_orders(met, ("contract", "day"))
 
 
+def _pair_ledger(spark: SparkSession, d: str) -> DataFrame:
+    rows = cleaning.interval_buckets(cleaning.epochs(cleaning.keep_last(market.md(spark, d))), "tick", "multiplier")
+    rows = rows.select("pair_id", "leg", "day", "exchtime", "row_id", market._book("bid").alias("bids"), market._book("ask").alias("asks"), F.col("buckets").alias("traded"))
+    return kernel.pair_replay(alignment.paired(rows, ("quoted", "hedge"), ("pair_id", "day"), "exchtime", ("row_id", "bids", "asks", "traded")), Terms())
+
+
+@query()
+def pair_replay(spark, d):
+    """The ledger of the strict two-leg replay."""
+    return _pair_ledger(spark, d)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS related_id WHERE false")
+def replay_invariants(spark, d):
+    """Checks of that ledger, none of which may find anything: running positions are the sums of the effects, every day of a pair
+    ends once, flat days have no position, and effects come from the sources there are."""
+    led = _pair_ledger(spark, d).withColumn("id", F.concat_ws(":", "pair_id", "day", "seq"))
+    w = Window.partitionBy("pair_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    run = led.withColumns({f"{leg}_sum": F.sum(F.when(F.col("leg") == leg, F.col("delta")).otherwise(0)).over(w) for leg in ("quoted", "hedge")})
+    run = run.withColumn("ends", F.sum((F.col("source") == "end").cast("int")).over(Window.partitionBy("pair_id", "day")))
+    return integrity.all_checks([
+        integrity.violations(run, "running_position", (F.col("quoted_sum") != F.col("quoted_pos")) | (F.col("hedge_sum") != F.col("hedge_pos")), "id"),
+        integrity.violations(run, "one_end", F.col("ends") != 1, "id"),
+        integrity.violations(run, "flat_is_flat", (F.col("source") == "end") & ((F.col("status") == "flat") != ((F.col("quoted_pos") == 0) & (F.col("hedge_pos") == 0))), "id"),
+        integrity.violations(run, "source", ~F.col("source").isin("maker", "hedge", "eod", "end") | ((F.col("source") == "maker") & (F.col("leg") != "quoted")), "id"),
+    ])
+
+
+@query()
+def replay_pnl(spark, d):
+    """PnL of the replay per pair: cash of both legs in the quoted leg's tick value, open positions marked at the last price of their leg."""
+    led = _pair_ledger(spark, d).where("source <> 'end'")
+    leg = led.groupBy("pair_id", "day", "leg").agg(F.sum(-F.col("delta") * F.col("px")).alias("cash"), F.sum("delta").alias("pos"), F.max_by("px", "seq").alias("mark"), F.count("*").alias("n"), F.sum(F.abs("delta")).alias("lots"))
+    return leg.groupBy("pair_id").agg(F.sum("n").alias("n_effects"), F.sum("lots").alias("lots"), F.round(F.sum(F.col("cash") + F.col("pos") * F.col("mark")), 4).alias("pnl_ticks"), F.count_if(F.col("pos") != 0).alias("n_open"))
+
+
 _LEGAL = " OR ".join(f"(before = '{a}' AND lifecycle_state IN ({', '.join(repr(b) for b in sorted(lifecycle.NEXT[a]))}))" for a in ("arrived", "partially_filled"))
 
 
