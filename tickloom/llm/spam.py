@@ -47,8 +47,9 @@ TOWARDS = np.array([-1.0, -1.0, 1.0, 1.0, 1.0])
 LEAST_SCALE = np.array([0.03, 0.02, 0.02, 0.02, 0.03])
 
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ANY = frozenset().union(*_WORDS.values())
+_ANY, _LATIN = frozenset().union(*_WORDS.values()), frozenset().union(*(_WORDS[k] for k in ("en", "de", "fr", "es")))
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s()<>\[\]]+|(?<![\w.@-])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s()<>\[\]]*)?(?![\w.])", re.I)
 _ANGLE = re.compile(r"<[^<>\n]{1,60}>")
 _TAG = re.compile(r"#\w[\w'’-]*")
@@ -60,15 +61,16 @@ LINK, TAG, CODE, BREAK = "\x01link", "\x01tag", "\x01code", "\x01break"
 
 def language(text: str, declared: str | None) -> str:
     """By script, else by the most function words, else as declared; ``other`` if none of these tells."""
-    letters = [c for c in text if c.isalpha()]
+    letters = sum(map(str.isalpha, text))
     if not letters:
         return "other"
-    if sum(1 for c in letters if _HAN.match(c)) > 0.3 * len(letters):
-        return "zh"
-    if sum(1 for c in letters if "Ѐ" <= c <= "ӿ") > 0.3 * len(letters):
-        return "ru"
-    words = text.lower().replace("'", " ").split()
-    hits = {k: sum(1 for w in words if w in _WORDS[k]) for k in ("en", "de", "fr", "es")}
+    if not text.isascii():
+        if len(_HAN.findall(text)) > 0.3 * letters:
+            return "zh"
+        if len(_CYRILLIC.findall(text)) > 0.3 * letters:
+            return "ru"
+    counts = Counter(text.lower().replace("'", " ").split())
+    hits = {k: sum(counts[w] for w in counts.keys() & _WORDS[k]) for k in ("en", "de", "fr", "es")}
     code = (declared or "").strip().lower()[:2]
     best = max(hits, key=lambda k: (hits[k], k == code))
     if hits[best] >= 2 and hits[best] > hits.get(code, 0):
@@ -87,12 +89,14 @@ def words_of(text: str) -> list[str]:
         elif _ANGLE.fullmatch(part) or _TAG.fullmatch(part):
             out.append(TAG)
         else:
-            out += [CODE if w[0].isdigit() else w if w[0].isalpha() else BREAK for w in (m.group().strip() or "-" for m in _TOKEN.finditer(part.lower()))]
+            out += [CODE if w[0].isdigit() else w if w[0].isalpha() else BREAK for w in _TOKEN.findall(part.lower())]
     return out
 
 
 def weight(word: str) -> float:
-    return 0.0 if word == BREAK else max(1.0, len(word) / 2) if _HAN.match(word) else 1.0
+    if word[0] < "\u3400":
+        return 0.0 if word == BREAK else 1.0
+    return max(1.0, len(word) / 2) if _HAN.match(word) else 1.0
 
 
 def features(text: str, declared: str | None) -> tuple[str, list[float], list[str]]:
@@ -102,11 +106,12 @@ def features(text: str, declared: str | None) -> tuple[str, list[float], list[st
     sizes = [weight(w) for w in words]
     n = max(1.0, sum(sizes))
     if lang == "zh":
-        function = sum(1 for c in text if c in _WORDS["zh"]) / 2
+        counts = Counter(text)
+        function = sum(counts[c] for c in counts.keys() & _WORDS["zh"]) / 2
     else:
-        known = _WORDS.get(lang, frozenset().union(*(_WORDS[k] for k in ("en", "de", "fr", "es"))))
+        known = _WORDS.get(lang, _LATIN)
         function = sum(1 for w in words if w in known)
-    units = [c for w in words if w not in (BREAK, CODE) for c in (_pairs(w) if _HAN.match(w) and len(w) > 4 else [w])]
+    units = [c for w in words if w not in (BREAK, CODE) for c in (_pairs(w) if w[0] >= "\u3400" and len(w) > 4 and _HAN.match(w) else (w,))]
     counts = Counter(units)
     m = len(units)
     entropy = -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m) if m > 1 else 1.0
