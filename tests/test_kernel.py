@@ -194,7 +194,9 @@ def test_groups(spark):
         [("A", t.date(), t + dt.timedelta(seconds=i), i, lv(100, 2), lv(101, 2), lv(100 + i % 2, 9)) for i in range(40)],
         "contract string, day date, exchtime timestamp_ntz, row_id long, bids array<struct<ticks:long,quantity:long>>, asks array<struct<ticks:long,quantity:long>>, traded array<struct<ticks:long,quantity:long>>",
     )
-    combos = spark.createDataFrame([(1, 10, 2, 0, 40, 4000), (2, 10, 2, 0, 40, 2), (3, 10, 2, 50, 40, 4000)], "combo int, every int, qty int, offset int, patience int, limit int")
+    combos = [{"combo": n, "every": 10, "qty": 2, "offset": o, "patience": 40, "limit": m} for n, o, m in ((1, 0, 4000), (2, 0, 2), (3, 50, 4000))]
+    assert replay(ticks, []).count() == 0
+    assert sorted(map(tuple, replay(ticks, combos, per_task=1).collect())) == sorted(map(tuple, replay(ticks.repartition(5), combos).collect()))
     got = replay(ticks, combos).collect()
     assert {c: sum(r.qty for r in got if r.combo == c) for c in (1, 2, 3)} == {1: 16, 2: 4, 3: 0}
     zs = [0, 3, 3, 0, 0, -3, -3]

@@ -6,7 +6,10 @@ side by side: the parameters of a combination are a column, so a grid is more gr
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def _sorted(table: pa.Table, *keys: str) -> list[dict]:
     return table.sort_by([(k, "ascending") for k in keys]).to_pylist()
 
 
+def _pairs(table: pa.Table, name: str) -> list[list[tuple[int, int]]]:
+    """A column of arrays of (ticks, quantity) as lists of pairs; null as an empty one."""
+    out: list[list[tuple[int, int]]] = []
+    for chunk in table.column(name).chunks:
+        flat = chunk.flatten()
+        pairs = list(zip(flat.field("ticks").to_pylist(), flat.field("quantity").to_pylist(), strict=True))
+        at = 0
+        for n in pc.fill_null(pc.list_value_length(chunk), 0).to_pylist():
+            out.append(pairs[at : at + n])
+            at += n
+    return out
+
+
 def position_costs(fills: DataFrame, by: tuple[str, ...], order: tuple[str, ...], fee: float = 0.0, fee_lot: float | None = None, multiplier: float = 1.0) -> DataFrame:
     """(key, pos, cost, realised) after every fill (columns ``key``, ``px``, ``qty``) of a group, in order. Fills without price or
     quantity change nothing and are left out."""
@@ -67,35 +83,37 @@ def execute_orders(orders: DataFrame, by: tuple[str, ...], participation: float
 FILLS = "combo int, contract string, day date, order_id long, row_id long, side int, px double, qty long, mode string"
 
 
-def replay(ticks: DataFrame, combos: DataFrame) -> DataFrame:
+def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> DataFrame:
     """Fills of the touch-joining policy for every combination (combo, every, qty, offset, patience, limit) on every contract and day.
 
     ``ticks``: contract, day, exchtime, row_id, bids and asks (arrays of (ticks, quantity)) and traded (the interval's volume by tick).
-    Combinations are few; each one's parameters travel with its rows.
+    A task reads its day once and plays up to ``per_task`` combinations on it; more of them go to further tasks.
     """
+    parts = [list(combos[i : i + per_task]) for i in range(0, len(combos), per_task)]
     names = ("every", "qty", "offset", "patience", "limit")
-    runs = ticks.crossJoin(F.broadcast(combos))  # a grid is every combination on every day
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        rows = _sorted(table, "exchtime", "row_id")
-        policy = JoinTouch(*[rows[0][f"p_{n}"] for n in names])
-        market, out, position = QueueMarket(), [], 0
-        for n, r in enumerate(rows):
-            tick = Tick([(x["ticks"], x["quantity"]) for x in r["bids"]], [(x["ticks"], x["quantity"]) for x in r["asks"]], [(x["ticks"], x["quantity"]) for x in r["traded"] or ()])
-            market.step(tick)
-            for f in market.match():
-                position += f.side * f.qty
-                out.append((f.order_id, r["row_id"], f.side, float(f.px), f.qty, f.mode))
-            policy(n, tick, market, position)
-        cols = list(zip(*out, strict=True)) or [[]] * 6
+        table = table.sort_by([("exchtime", "ascending"), ("row_id", "ascending")])
+        ids = table.column("row_id").to_pylist()
+        steps = [Tick(*x) for x in zip(_pairs(table, "bids"), _pairs(table, "asks"), _pairs(table, "traded"), strict=True)]
+        out = []
+        for c in parts[group[0].as_py()]:
+            policy, market, position = JoinTouch(*[c[n] for n in names]), QueueMarket(), 0
+            for n, (row, tick) in enumerate(zip(ids, steps, strict=True)):
+                market.step(tick)
+                for f in market.match():
+                    position += f.side * f.qty
+                    out.append((c["combo"], f.order_id, row, f.side, float(f.px), f.qty, f.mode))
+                policy(n, tick, market, position)
+        cols = list(zip(*out, strict=True)) or [[]] * 7
         m = len(out)
         return pa.table({
-            "combo": pa.array([group[0].as_py()] * m, pa.int32()), "contract": pa.array([group[1].as_py()] * m, pa.string()), "day": pa.array([group[2].as_py()] * m, pa.date32()), "order_id": pa.array(cols[0], pa.int64()),
-            "row_id": pa.array(cols[1], pa.int64()), "side": pa.array(cols[2], pa.int32()), "px": pa.array(cols[3], pa.float64()), "qty": pa.array(cols[4], pa.int64()), "mode": pa.array(cols[5], pa.string()),
+            "combo": pa.array(cols[0], pa.int32()), "contract": pa.array([group[1].as_py()] * m, pa.string()), "day": pa.array([group[2].as_py()] * m, pa.date32()), "order_id": pa.array(cols[1], pa.int64()),
+            "row_id": pa.array(cols[2], pa.int64()), "side": pa.array(cols[3], pa.int32()), "px": pa.array(cols[4], pa.float64()), "qty": pa.array(cols[5], pa.int64()), "mode": pa.array(cols[6], pa.string()),
         })
 
-    picked = runs.select("combo", "contract", "day", "exchtime", "row_id", "bids", "asks", "traded", *[F.col(n).alias(f"p_{n}") for n in names])
-    return picked.groupBy("combo", "contract", "day").applyInArrow(run, FILLS)
+    picked = ticks.select(F.explode(F.array(*[F.lit(i) for i in range(max(1, len(parts)))])).alias("part"), "contract", "day", "exchtime", "row_id", "bids", "asks", "traded")
+    return picked.where(F.lit(bool(parts))).groupBy("part", "contract", "day").applyInArrow(run, FILLS)
 
 
 def hysteresis_trades(series: DataFrame, enter: float, leave: float) -> DataFrame:
@@ -131,15 +149,16 @@ def pair_replay(batches: DataFrame, terms: Terms) -> DataFrame:
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         play, last = PairReplay(terms), {}
-        for r in _sorted(table, "exchtime"):
+        table = table.sort_by("exchtime")
+        legs = {leg: list(zip(table.column(f"{leg}_row_id").to_pylist(), _pairs(table, f"{leg}_bids"), _pairs(table, f"{leg}_asks"), strict=True)) for leg in ("quoted", "hedge")}
+        for n, traded in enumerate(_pairs(table, "quoted_traded")):
             fresh = {}
-            for leg in ("quoted", "hedge"):
-                row = r[f"{leg}_row_id"]
+            for leg, rows in legs.items():
+                row, bids, asks = rows[n]
                 if row is not None and row != last.get(leg):
-                    fresh[leg] = Book(row, *[[(x["ticks"], x["quantity"]) for x in r[f"{leg}_{side}"]] for side in ("bids", "asks")])
+                    fresh[leg] = Book(row, bids, asks)
                     last[leg] = row
-            traded = [(x["ticks"], x["quantity"]) for x in r["quoted_traded"] or ()] if "quoted" in fresh else []
-            play.step(fresh.get("quoted"), fresh.get("hedge"), traded)
+            play.step(fresh.get("quoted"), fresh.get("hedge"), traded if "quoted" in fresh else [])
         end = play.finish()
         rows = [*play.ledger, (play.batch, None, "end", None, 0, None, end, play.position["quoted"], play.position["hedge"])]
         n = len(rows)

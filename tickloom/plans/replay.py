@@ -10,7 +10,7 @@ from tickloom.kernel import lifecycle
 from tickloom.kernel import spark as kernel
 from tickloom.kernel.pair import Terms
 from tickloom.operators import alignment, cleaning, integrity, reports, signals
-from tickloom.plans import market
+from tickloom.plans import config, market
 from tickloom.sources.tables import table
 from tickloom.streaming import streams
 
@@ -48,31 +48,34 @@ def position_cost(spark, d):
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
     rows = cleaning.interval_buckets(cleaning.epochs(cleaning.keep_last(market.md(spark, d))), "tick", "multiplier")
+    # Books that no policy can trade on (no side, crossed, or far apart) are left out.
+    spread = ticks.in_ticks(F.col("askpx0"), F.col("tick")) - ticks.in_ticks(F.col("bidpx0"), F.col("tick"))
+    rows = rows.where((F.col("bidpx0") > 0) & spread.between(1, 1000))
     return rows.select("contract", "day", "exchtime", "row_id", market._book("bid").alias("bids"), market._book("ask").alias("asks"), F.col("buckets").alias("traded"))
 
 
-def _combos(spark: SparkSession) -> DataFrame:
-    rows = [(n, every, qty, offset, 40, 4000) for n, (every, qty, offset) in enumerate((e, q, o) for e in (10, 25) for q in (1, 3) for o in (0, 1))]
-    return spark.createDataFrame(rows, "combo int, every int, qty int, offset int, patience int, limit int")
+#: Eight combinations of the touch-joining policy.
+COMBOS = config.combinations({"every": [10, 25], "qty": [1, 3], "offset": [0, 1], "patience": 40, "limit": 4000})
 
 
 @query()
 def queue_replay(spark, d):
     """Fills of one combination of the touch-joining policy over all contracts and days."""
-    return kernel.replay(_ticks(spark, d), _combos(spark).where("combo = 0"))
+    return kernel.replay(_ticks(spark, d), COMBOS[:1])
 
 
 @query()
 def grid_ranking(spark, d):
     """All combinations ranked by the PnL of their round trips (in ticks, to the last book's mid), with robustness."""
     rows = _ticks(spark, d)
-    fills = kernel.replay(rows, _combos(spark))
+    fills = kernel.replay(rows, COMBOS)
     last = rows.where((F.size("bids") > 0) & (F.size("asks") > 0)).groupBy("contract", "day").agg(F.max_by((F.col("bids")[0]["ticks"] + F.col("asks")[0]["ticks"]) / 2, F.struct("exchtime", "row_id")).alias("mark"))
     per_day = fills.groupBy("combo", "contract", "day").agg(F.sum(-F.col("side") * F.col("qty") * F.col("px")).alias("cash"), F.sum(F.col("side") * F.col("qty")).alias("pos"), F.count("*").alias("n"))
     per_day = per_day.join(last, ["contract", "day"]).withColumn("pnl", F.round(F.col("cash") + F.col("pos") * F.col("mark"), 4))
     nets = per_day.groupBy("combo", "day").agg(F.sum("pnl").alias("net"), F.sum("n").alias("fills"))
     out = nets.groupBy("combo").agg(F.round(F.sum("net"), 2).alias("net"), F.round(F.sum("net") - F.max("net"), 2).alias("net_less_best_day"), F.sum("fills").alias("fills"))
-    return reports.best_of(_combos(spark).join(out, "combo", "left").fillna(0, ["net", "net_less_best_day", "fills"]), "net", "combo")
+    listed = spark.createDataFrame([tuple(c.values()) for c in COMBOS], "combo int, every int, qty int, offset int, patience int, limit int")
+    return reports.best_of(listed.join(out, "combo", "left").fillna(0, ["net", "net_less_best_day", "fills"]), "net", "combo")
 
 
 @query()
