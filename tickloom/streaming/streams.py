@@ -39,7 +39,8 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
 
 
 def sealed(stream: DataFrame, time: str, product: str, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Batches of event time with their rows and products, each emitted once the watermark has passed it."""
+    """Batches of event time with their rows and products, each emitted once the watermark has passed it. Rows that
+    come after their batch was emitted are dropped; Spark judges them by the watermark that the micro-batch before began with."""
     rows = stream.where(F.col(time).isNotNull()).withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", delay)
     out = rows.groupBy(F.window("_ts", width)).agg(F.count("*").alias("n_rows"), F.approx_count_distinct(product).alias("n_products_approx"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("batch_ts"), "n_rows", "n_products_approx")
