@@ -130,11 +130,12 @@ def _pairs(run: str) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     """``shortest``: characters of a text that can be a case; ``outlier``, ``core``: squared distances from which a text is an
-    outlier, and of the core; ``odds``: least ratio of a spam word's shares; ``least_share``: of the core's
+    outlier, and of the core; ``ordinary``: up to which its words count as ordinary ones; ``odds``: least ratio of a spam word's shares; ``least_share``: of the core's
     words; ``mostly``, ``times``, ``part``: of the exact check; ``fewest``: documents for a fit of a language's own."""
 
     shortest: int = 60
     outlier: float = 6.63
+    ordinary: float = 11.07
     core: float = 60.0
     odds: float = 3.0
     least_share: float = 0.0002
@@ -244,7 +245,7 @@ def robust_fits(df: DataFrame, settings: Settings) -> dict[str, Fit]:
 def vocabulary(df: DataFrame, settings: Settings) -> dict[str, frozenset[str]]:
     """The spam words of each language (and ``*``: of any), from the judged documents."""
     core = (F.col("d2") >= settings.core) & (F.col("spamward") > 0)
-    ordinary = (F.col("d2") < settings.outlier) | (F.col("spamward") <= 0)
+    ordinary = (F.col("d2") < settings.ordinary) | (F.col("spamward") <= 0)
     words = df.where(core | ordinary).select("lang", core.alias("core"), F.explode("words").alias("word")).where(~F.col("word").startswith("\x01"))
     counts = words.groupBy("lang", "word").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("o"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("cs"), F.sum("o").alias("os"))
