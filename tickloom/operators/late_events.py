@@ -9,10 +9,15 @@ with a third of all rows is cut into its minutes. Exact copies of ``snapshots``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 CUTOFF_S = 180
 
+#: The start of a time's minute, without a time zone (the built-in truncation goes through the session's).
+MINUTE = r"\1 - make_dt_interval(0, 0, 0, extract(SECOND FROM \1))"
+
 #: All records with both times: src, key (contract), event and arrival time, place among equal arrivals, value, key of the row.
 RECORDS = """
 SELECT 'market_data' AS src, contract AS k, exchtime AS ev, `timestamp` AS arr, row_id AS ord, CAST(row_id AS STRING) AS row_key, CASE WHEN abs(lastpx) < 1e11 THEN CAST(lastpx AS DECIMAL(18, 6)) END AS v
@@ -23,7 +28,7 @@ FROM (SELECT DISTINCT snapshot_id, feed_seq, product, exchange_ts, available_at
 """
 
 CELLS = """
-SELECT src, k, date_trunc('MINUTE', ev) AS ev_minute, date_trunc('MINUTE', arr) AS arr_minute,
+SELECT src, k, {minute:ev} AS ev_minute, {minute:arr} AS arr_minute,
        count(*) AS n, count(v) AS n_v, sum(v) AS sum_v, max(ev) AS last_ev
 FROM records GROUP BY 1, 2, 3, 4
 """
@@ -39,10 +44,10 @@ FOUND = """
 SELECT src, row_key, CASE WHEN timestampdiff(MICROSECOND, ev, m) > {cutoff} * 1000000 THEN 'too_late' ELSE 'corrects' END AS status, k, ev, arr
 FROM (
   SELECT r.*, greatest(w.mark, max(ev) OVER (PARTITION BY src, k, arr_minute ORDER BY arr, ord, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS m
-  FROM (SELECT *, date_trunc('MINUTE', arr) AS arr_minute FROM records) r
+  FROM (SELECT *, {minute:arr} AS arr_minute FROM records) r
   JOIN watermarks w ON r.src = w.w_src AND r.k <=> w.w_k AND r.arr_minute = w.w_minute
 )
-WHERE m >= date_trunc('MINUTE', ev) + INTERVAL 1 MINUTE
+WHERE m >= {minute:ev} + INTERVAL 1 MINUTE
 """
 
 #: Each revision: what the minute held after an arrival minute that brought records within the cut-off.
@@ -50,7 +55,7 @@ REVISIONS = """
 SELECT src, k, ev_minute, arr_minute, row_number() OVER seen AS revision, sum(n) OVER upto AS n, sum(n_v) OVER upto AS n_v, sum(sum_v) OVER upto AS sum_v,
        arr_minute = max(arr_minute) OVER (PARTITION BY src, k, ev_minute) AS is_final
 FROM (
-  SELECT src, k, date_trunc('MINUTE', ev) AS ev_minute, date_trunc('MINUTE', arr) AS arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS sum_v
+  SELECT src, k, {minute:ev} AS ev_minute, {minute:arr} AS arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS sum_v
   FROM (SELECT r.* FROM records r LEFT ANTI JOIN (SELECT src, row_key, k, ev, arr FROM found WHERE status = 'too_late') f
         ON r.src = f.src AND r.k <=> f.k AND r.ev = f.ev AND r.arr = f.arr AND r.row_key = f.row_key)
   GROUP BY 1, 2, 3, 4
@@ -63,8 +68,7 @@ def _query(market_data: DataFrame, snapshots: DataFrame, last: str, cutoff_s: in
     spark: SparkSession = market_data.sparkSession
     steps = [("records", RECORDS), ("cells", CELLS), ("watermarks", WATERMARKS), ("found", FOUND), ("revisions", REVISIONS)]
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in steps[: [n for n, _ in steps].index(last) + 1])
-    for param, value in (("{cutoff}", str(int(cutoff_s))),):
-        ctes = ctes.replace(param, value)
+    ctes = re.sub(r"\{minute:(\w+)\}", MINUTE, ctes.replace("{cutoff}", str(int(cutoff_s))))
     return spark.sql(f"WITH {ctes} SELECT * FROM {last}", market_data=market_data, snapshots=snapshots)
 
 
