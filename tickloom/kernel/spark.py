@@ -18,6 +18,7 @@ from tickloom.kernel.pair import Book, PairReplay, Terms
 from tickloom.kernel.policies import Hysteresis, JoinTouch
 from tickloom.kernel.positions import Position
 from tickloom.kernel.queue import QueueMarket, Tick
+from tickloom.operators import signals
 
 
 
@@ -38,20 +39,65 @@ def _pairs(table: pa.Table, name: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+COSTS = "key string, pos long, cost double, realised double"
+
+
+def _after_fills(p: Position, fills: list[dict]) -> pa.Table:
+    out = []
+    for r in fills:
+        got = p.fill(r["px"], r["qty"])
+        out.append((r["key"], p.qty, p.cost, got))
+    cols = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.table({"key": pa.array(cols[0], pa.string()), "pos": pa.array(cols[1], pa.int64()), "cost": pa.array(cols[2], pa.float64()), "realised": pa.array(cols[3], pa.float64())})
+
+
 def position_costs(fills: DataFrame, by: tuple[str, ...], order: tuple[str, ...], fee: float = 0.0, fee_lot: float | None = None, multiplier: float = 1.0) -> DataFrame:
     """(key, pos, cost, realised) after every fill (columns ``key``, ``px``, ``qty``) of a group, in order. Fills without price or
     quantity change nothing and are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        p, out = Position(multiplier, fee, fee_lot), []
-        for r in _sorted(table, *order):
-            got = p.fill(r["px"], r["qty"])
-            out.append((r["key"], p.qty, p.cost, got))
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"key": pa.array(cols[0], pa.string()), "pos": pa.array(cols[1], pa.int64()), "cost": pa.array(cols[2], pa.float64()), "realised": pa.array(cols[3], pa.float64())})
+        return _after_fills(Position(multiplier, fee, fee_lot), _sorted(table, *order))
 
     rows = fills.where(F.col("px").isNotNull() & F.col("qty").isNotNull()).select(*dict.fromkeys([*by, *order, "key", "px", "qty"]))
-    return rows.groupBy(*by).applyInArrow(run, "key string, pos long, cost double, realised double")
+    return rows.groupBy(*by).applyInArrow(run, COSTS)
+
+
+def carried_costs(fills: DataFrame, key: str, order: tuple[str, ...], fee: float = 0.0, fee_lot: float | None = None, multiplier: float = 1.0) -> DataFrame:
+    """As ``position_costs`` by ``key`` and day, but a day begins with the position and mean cost that the day before ended with.
+
+    Given the quantity that it begins with, a day turns the cost that it begins with into a * cost + b (a is 0 once the position was flat or
+    turned), so days are read side by side and only these pairs, one per key and day, are gone through in order."""
+    rows = fills.where(F.col("px").isNotNull() & F.col("qty").isNotNull()).select(*dict.fromkeys([key, *order, "key", "px", "qty"]))
+    rows = signals.carried_sums(rows, key, order[0], order, {"held": F.col("qty")}).withColumn("held_begin", F.coalesce("held_begin", F.lit(0).cast("long"))).drop("held")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def change(group: tuple, table: pa.Table) -> pa.Table:
+        pos, a, b = table.column("held_begin")[0].as_py(), 1.0, 0.0
+        for r in _sorted(table, *order):
+            px, q = r["px"], r["qty"]
+            if not q:
+                continue
+            if pos == 0 or (pos * q < 0 and abs(q) > abs(pos)):
+                a, b = 0.0, px
+            elif pos * q > 0:
+                a, b = pos * a / (pos + q), (pos * b + px * q) / (pos + q)
+            pos += q
+        return pa.table({"_k": pa.array([group[0].as_py()], table.schema.field(key).type), "_d": pa.array([group[1].as_py()], pa.date32()), "_a": pa.array([a], pa.float64()), "_b": pa.array([b], pa.float64())})
+
+    def begin(table: pa.Table) -> pa.Table:
+        table, cost, out = table.sort_by("_d"), 0.0, []
+        for a, b in zip(table.column("_a").to_pylist(), table.column("_b").to_pylist(), strict=True):
+            out.append(cost)
+            cost = a * cost + b if a else b
+        return table.select(["_k", "_d"]).append_column("_cost", pa.array(out, pa.float64()))
+
+    def run(table: pa.Table) -> pa.Table:
+        p = Position(multiplier, fee, fee_lot, qty=table.column("held_begin")[0].as_py(), cost=table.column("_cost")[0].as_py())
+        return _after_fills(p, _sorted(table, *order))
+
+    days = rows.groupBy(key, "_day").applyInArrow(change, f"_k {kind}, _d date, _a double, _b double").groupBy("_k").applyInArrow(begin, f"_k {kind}, _d date, _cost double")
+    met = rows.join(days, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_day") == F.col("_d"))).drop("_k", "_d")
+    return met.groupBy(key, "_day").applyInArrow(run, COSTS)
 
 
 EXECUTIONS = "order_key string, status string, reason string, filled long, n_levels int, notional_ticks long, touch long"

@@ -80,3 +80,25 @@ def downsampled(df: DataFrame, value: str, size: int, by: tuple[str, ...] = BY,
 def open_time(position: str, time: str, w: WindowSpec) -> Column:
     """Microseconds to the next row where the position is open."""
     return F.when(F.col(position) != 0, F.coalesce(F.timestamp_diff("MICROSECOND", F.col(time), F.lead(time).over(w)), F.lit(0))).otherwise(0)
+
+
+def carried_sums(rows: DataFrame, key: str, time: str, order: tuple[str, ...], columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums over a key's whole history, per name: ``<name>`` up to and with the row, ``<name>_begin`` what the row's
+    ``_day`` begins with (null if nothing was summed yet). A null key is a key of its own; rows need a time.
+
+    Windows are over one key's day; what it begins with is summed over the days before, one row per key and day."""
+    rows = rows.withColumns({f"_v_{n}": c for n, c in columns.items()}).withColumn("_day", F.to_date(time))
+    w = Window.partitionBy(key, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    days = rows.groupBy(F.col(key).alias("_key"), F.col("_day").alias("_d")).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in columns])
+    before = Window.partitionBy("_key").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_key", "_d", *[F.sum(f"_s_{n}").over(before).alias(f"{n}_begin") for n in columns])
+    out = rows.withColumns({n: F.sum(f"_v_{n}").over(w) for n in columns}).join(days, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_d")))
+    return out.withColumns({n: F.coalesce(F.col(n) + F.col(f"{n}_begin"), n, f"{n}_begin") for n in columns}).drop("_key", "_d", *[f"_v_{n}" for n in columns])
+
+
+def carried_next(rows: DataFrame, key: str, time: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """``rows`` (with ``_day``) and the time of the key's next row, on whatever day it is; null on its last row."""
+    days = rows.groupBy(F.col(key).alias("_key"), F.col("_day").alias("_d")).agg(F.min(time).alias("_first"))
+    days = days.select("_key", "_d", F.lead("_first").over(Window.partitionBy("_key").orderBy("_d")).alias("_after"))
+    out = rows.withColumn(name, F.lead(time).over(Window.partitionBy(key, "_day").orderBy(*order))).join(days, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_d")))
+    return out.withColumn(name, F.coalesce(name, "_after")).drop("_key", "_d", "_after")
