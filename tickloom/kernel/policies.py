@@ -10,7 +10,7 @@ from tickloom.kernel.queue import QueueMarket, Tick
 @dataclass
 class JoinTouch:
     """Every ``every`` snapshots an order of ``qty`` at the best bid and ask, ``offset`` ticks back; orders older than ``patience``
-    snapshots are cancelled; no new ones at ``limit`` messages."""
+    snapshots are cancelled; no new ones at ``limit`` messages or on a book that isn't ``tradable``."""
 
     every: int = 10
     qty: int = 2
@@ -18,10 +18,10 @@ class JoinTouch:
     patience: int = 40
     limit: int = 4000
 
-    def __call__(self, n: int, tick: Tick, market: QueueMarket, position: int) -> None:
+    def __call__(self, n: int, tick: Tick, market: QueueMarket, position: int, tradable: bool = True) -> None:
         for side in (1, -1):
             market.cancel(side, lambda o: True, min_age=self.patience)
-        if n % self.every or not tick.bids or not tick.asks or market.messages >= self.limit:
+        if n % self.every or not tradable or not tick.bids or not tick.asks or market.messages >= self.limit:
             return
         market.place(1, tick.bids[0][0] - self.offset, self.qty)
         market.place(-1, tick.asks[0][0] + self.offset, self.qty)

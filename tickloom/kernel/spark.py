@@ -132,7 +132,8 @@ FILLS = "combo int, contract string, day date, order_id long, row_id long, side
 def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> DataFrame:
     """Fills of the touch-joining policy for every combination (combo, every, qty, offset, patience, limit) on every contract and day.
 
-    ``ticks``: contract, day, exchtime, row_id, bids and asks (arrays of (ticks, quantity)) and traded (the interval's volume by tick).
+    ``ticks``: contract, day, exchtime, row_id, bids and asks (arrays of (ticks, quantity)) and traded (the interval's volume by tick);
+    ``tradable``, if there: whether the policy may place orders on the snapshot. Others still age and decay what rests.
     A task reads its day once and plays up to ``per_task`` combinations on it; more of them go to further tasks.
     """
     parts = [list(combos[i : i + per_task]) for i in range(0, len(combos), per_task)]
@@ -141,16 +142,17 @@ def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> Data
     def run(group: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("exchtime", "ascending"), ("row_id", "ascending")])
         ids = table.column("row_id").to_pylist()
+        usable = table.column("tradable").to_pylist()
         steps = [Tick(*x) for x in zip(_pairs(table, "bids"), _pairs(table, "asks"), _pairs(table, "traded"), strict=True)]
         out = []
         for c in parts[group[0].as_py()]:
             policy, market, position = JoinTouch(*[c[n] for n in names]), QueueMarket(), 0
-            for n, (row, tick) in enumerate(zip(ids, steps, strict=True)):
+            for n, (row, tick, may) in enumerate(zip(ids, steps, usable, strict=True)):
                 market.step(tick)
                 for f in market.match():
                     position += f.side * f.qty
                     out.append((c["combo"], f.order_id, row, f.side, float(f.px), f.qty, f.mode))
-                policy(n, tick, market, position)
+                policy(n, tick, market, position, may)
         cols = list(zip(*out, strict=True)) or [[]] * 7
         m = len(out)
         return pa.table({
@@ -158,7 +160,9 @@ def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> Data
             "row_id": pa.array(cols[2], pa.int64()), "side": pa.array(cols[3], pa.int32()), "px": pa.array(cols[4], pa.float64()), "qty": pa.array(cols[5], pa.int64()), "mode": pa.array(cols[6], pa.string()),
         })
 
-    picked = ticks.select(F.explode(F.array(*[F.lit(i) for i in range(max(1, len(parts)))])).alias("part"), "contract", "day", "exchtime", "row_id", "bids", "asks", "traded")
+    if "tradable" not in ticks.columns:
+        ticks = ticks.withColumn("tradable", F.lit(True))
+    picked = ticks.select(F.explode(F.array(*[F.lit(i) for i in range(max(1, len(parts)))])).alias("part"), "contract", "day", "exchtime", "row_id", "bids", "asks", "traded", "tradable")
     return picked.where(F.lit(bool(parts))).groupBy("part", "contract", "day").applyInArrow(run, FILLS)
 
 

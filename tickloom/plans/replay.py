@@ -61,11 +61,15 @@ def position_cost_carried(spark, d):
 
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.interval_buckets(cleaning.epochs(cleaning.keep_last(market.md(spark, d))), "tick", "multiplier")
-    # Books that no policy can trade on (no side, crossed, or far apart) are left out.
+    rows = cleaning.interval_buckets(cleaning.epochs(cleaning.valid_rows(market.md(spark, d))), "tick", "multiplier")
+    # Rows without a bid or total go before the increments, as in the reference, so that the next row has their volume. Every other
+    # snapshot ages and decays resting orders; on books with no side, crossed, or far apart the policy places none.
     spread = ticks.in_ticks(F.col("askpx0"), F.col("tick")) - ticks.in_ticks(F.col("bidpx0"), F.col("tick"))
-    rows = rows.where((F.col("bidpx0") > 0) & spread.between(1, 1000))
-    return rows.select("contract", "day", "exchtime", "row_id", market._book("bid").alias("bids"), market._book("ask").alias("asks"), F.col("buckets").alias("traded"))
+    rows = rows.withColumn("tradable", F.coalesce((F.col("bidpx0") > 0) & spread.between(1, 1000), F.lit(False)))
+    # Broken quotes (best levels over 1,000 ticks apart either way, or no positive price) are no depth that a resting order could sweep.
+    apart = F.coalesce((F.col("bidvol0") > 0) & (F.col("askvol0") > 0) & (F.abs(spread) > 1000), F.lit(False))
+    depth = {s: F.when(F.col("tradable"), market._book(s)).when(~apart, F.filter(market._book(s), lambda x: x["ticks"] > 0)) for s in ("bid", "ask")}
+    return rows.select("contract", "day", "exchtime", "row_id", depth["bid"].alias("bids"), depth["ask"].alias("asks"), F.col("buckets").alias("traded"), "tradable")
 
 
 #: Eight combinations of the touch-joining policy.
@@ -80,10 +84,10 @@ def queue_replay(spark, d):
 
 @query()
 def grid_ranking(spark, d):
-    """All combinations ranked by the PnL of their round trips (in ticks, to the last book's mid), with robustness."""
+    """All combinations ranked by the PnL of their round trips (in ticks, to the mid of the last book that can be traded on), with robustness."""
     rows = _ticks(spark, d)
     fills = kernel.replay(rows, COMBOS)
-    last = rows.where((F.size("bids") > 0) & (F.size("asks") > 0)).groupBy("contract", "day").agg(F.max_by((F.col("bids")[0]["ticks"] + F.col("asks")[0]["ticks"]) / 2, F.struct("exchtime", "row_id")).alias("mark"))
+    last = rows.where(F.col("tradable") & (F.size("bids") > 0) & (F.size("asks") > 0)).groupBy("contract", "day").agg(F.max_by((F.col("bids")[0]["ticks"] + F.col("asks")[0]["ticks"]) / 2, F.struct("exchtime", "row_id")).alias("mark"))
     per_day = fills.groupBy("combo", "contract", "day").agg(F.sum(-F.col("side") * F.col("qty") * F.col("px")).alias("cash"), F.sum(F.col("side") * F.col("qty")).alias("pos"), F.count("*").alias("n"))
     per_day = per_day.join(last, ["contract", "day"]).withColumn("pnl", F.round(F.col("cash") + F.col("pos") * F.col("mark"), 4))
     nets = per_day.groupBy("combo", "day").agg(F.sum("pnl").alias("net"), F.sum("n").alias("fills"))
