@@ -9,7 +9,7 @@ from statistics import median
 import numpy as np
 import pytest
 
-from tickloom.operators.anomalies import Rules, haar_details, implausible_fields, implausible_readings, usual_steps
+from tickloom.operators.anomalies import Rules, implausible_fields, implausible_readings, lifted_details, usual_steps
 
 FIELDS = ("bidpx0", "askpx0", "lastpx", "totalvol")
 SCHEMA = "row_id long, contract string, exchtime timestamp_ntz, bidpx0 double, askpx0 double, lastpx double, totalvol long, field string, source string"
@@ -119,6 +119,30 @@ def test_usual_step_is_the_exact_median(spark):
 
 
 def test_details():
-    d = haar_details(np.array([1.0, 1.0, 5.0, 5.0, 5.0]))
-    assert d[0].tolist() == [0, 0, 2, 0, 0] and len(d) == 3
-    assert haar_details(np.array([]))[0].size == 0
+    x = np.array([1.0, 1.0, 5.0, 5.0, 5.0])
+    assert lifted_details(x, 1).tolist() == [0, 0, 4, 0, 0]
+    assert lifted_details(x, 2).tolist() == [0, 0, 4, 4, 0]
+    assert lifted_details(x, 3).tolist() == [0, 0, 0, 0, 4]
+    assert lifted_details(np.array([]), 1).size == 0
+    assert lifted_details(np.array([1e308, -1e308, np.inf, np.inf]), 1).tolist() == [0, -np.inf, np.inf, 0]
+
+
+@pytest.mark.parametrize("width, level", [(1, 1), (2, 2), (3, 2), (4, 3), (6, 3)])
+def test_a_spike_is_found_at_the_level_of_its_width(spark, width, level):
+    rows = []
+    for i in range(40):
+        odd = 20 <= i < 20 + width
+        px = 1000.0 + i % 2 + (500 if odd else 0)
+        rows.append((i, "A", DAY + dt.timedelta(seconds=i), px, px + 1, px, 10 * i + (5000 if odd else 0), "", ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    wanted = {(i, f) for i in range(20, 20 + width) for f in FIELDS}
+    assert {tuple(r) for r in implausible_fields(implausible_readings(df)).collect()} == wanted
+    without = Rules(levels=tuple(j for j in (1, 2, 3) if j != level))
+    assert implausible_readings(df, rules=without).count() == 0
+
+
+def test_a_spike_beside_another_and_of_both_signs(spark):
+    off = {10: 300, 11: 600, 12: -700, 13: 0, 14: 400, 15: -400}
+    rows = [(i, "A", DAY + dt.timedelta(seconds=i), 1000.0 + i % 2 + off.get(i, 0), 2000.0 + i % 2, 1000.0 + i % 3, i, "", "") for i in range(40)]
+    got = {(r.row_id, r.field) for r in implausible_fields(implausible_readings(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == brute(rows) and {(i, "bidpx0") for i in (10, 11, 12, 14, 15)} <= got

@@ -1,15 +1,17 @@
 """Implausible readings: spikes, stuck values and impossible values of a source.
 
-One sort of the rows by source and day gives every field's series of readings. An undecimated Haar
-transform of the series (shift-invariant, one detail per reading and level) drives both searches: the first
-level's details, scaled by a robust measure of the source (the median non-zero change), name the edges at
-which a spike can begin or end, and runs of zero details are stuck values. Bounds give the impossible
-readings. The exact rules are then tested at those edges and runs only.
+One sort of the rows by source and day gives every field's series of readings, which an undecimated wavelet transform
+takes apart: the Haar lifting step with holes, without smoothing, so that an odd value has no part in the details of readings
+that are not compared with it. At level j a reading's detail is its difference from the reading 2^(j-1) before. Details are
+scaled by a robust measure of the source (the median non-zero detail of level 1). A spike of k readings is searched at the
+level of its width (1; 2 and 3; 4 to 7): the details at which it is entered and left must both exceed the threshold there.
+Runs of zero details are stuck values, and bounds give the impossible readings. The exact rules are then tested at those
+places only.
 
 Scale: one shuffle on (source, day), which both passes (scale, detection) read. A day of a source is bounded
 by the clock and the feed's cadence, so a source that holds a third of all rows is cut into its days. The
-scale itself is never computed from a collected group: changes are counted by value in the map side,
-and a window over the counts finds the middle.
+scale itself is never computed from a collected group: changes are counted by value in the map side, then by ranges of values,
+and only the range that holds the middle is sorted.
 """
 
 from __future__ import annotations
@@ -22,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 3
-
 
 @dataclass(frozen=True)
 class Rules:
     """What counts as implausible. ``jump``: usual steps that a spike exceeds on both sides; ``widest``: most
-    readings of a spike; ``stuck``: least equal readings; ``lively``: least distinct values of every other field."""
+    readings of a spike; ``levels``: those searched, each for the widths it stands for; ``stuck``: least equal readings;
+    ``lively``: least distinct values of every other field."""
 
     prices: tuple[str, ...] = ("bidpx0", "askpx0", "lastpx")
     totals: tuple[str, ...] = ("totalvol",)
     jump: float = 25.0
     widest: int = 6
+    levels: tuple[int, ...] = (1, 2, 3)
     stuck: int = 25
     lively: int = 5
 
@@ -42,29 +44,32 @@ class Rules:
         return self.prices + self.totals
 
 
-def haar_details(x: np.ndarray, levels: int = LEVELS) -> list[np.ndarray]:
-    """Details of the undecimated Haar transform; at level j a reading's detail compares the mean of the
-    2^(j-1) readings up to it with the mean of as many before those. Where there are too few, it is 0."""
-    out, smooth, lag = [], x.astype(np.float64), 1
-    for _ in range(levels):
-        detail = np.zeros(len(smooth))
-        if len(smooth) > lag:
-            detail[lag:] = (smooth[lag:] - smooth[:-lag]) / 2
-        out.append(detail)
-        smooth = smooth - detail
-        lag *= 2
+def lifted_details(x: np.ndarray, level: int) -> np.ndarray:
+    """The details of one level: each reading less the one 2^(level-1) before; 0 where there is none, and of equal readings."""
+    lag, out = 1 << (level - 1), np.zeros(len(x))
+    if len(x) > lag:
+        with np.errstate(over="ignore", invalid="ignore"):
+            now, then = x[lag:], x[:-lag]
+            apart = now.astype(np.float64) - then.astype(np.float64)
+            out[lag:] = np.where(now == then, 0.0, np.where(apart == 0, np.where(now > then, 1.0, -1.0), apart))  # whole numbers beyond 2^53
     return out
 
 
-def _edges(x: np.ndarray, detail: np.ndarray, threshold: float, rules: Rules) -> np.ndarray:
+def _widths(rules: Rules) -> list[tuple[int, int]]:
+    """(width, level) of the groups searched: a level stands for the widths from 2^(level-1) up to below 2^level."""
+    return [(k, k.bit_length()) for k in range(1, rules.widest + 1) if k.bit_length() in rules.levels]
+
+
+def _edges(x: np.ndarray, details: dict[int, np.ndarray], threshold: float, rules: Rules) -> np.ndarray:
     """Readings of a price that lie in a group of one to ``widest`` which is off both neighbours by more than
-    ``threshold``. A group's first reading has a large detail and so has the reading after its last."""
+    ``threshold``. At the level of its width, the detail that compares a reading of the group with the one before the group is
+    large, and so is the detail of the reading after it."""
     hit = np.zeros(len(x), dtype=bool)
-    large = np.abs(2 * detail) > threshold
-    first = np.flatnonzero(large)
-    for k in range(1, rules.widest + 1):
-        p = first[(first >= 1) & (first + k < len(x))]
-        p = p[large[p + k]]
+    large = {j: np.abs(d) > threshold for j, d in details.items()}
+    for k, level in _widths(rules):
+        p = np.flatnonzero(large[level]) - (1 << (level - 1)) + 1
+        p = p[(p >= 1) & (p + k < len(x))]
+        p = p[large[level][p + k]]
         if not len(p):
             continue
         group = x[p[:, None] + np.arange(k)]
@@ -74,13 +79,13 @@ def _edges(x: np.ndarray, detail: np.ndarray, threshold: float, rules: Rules) ->
     return hit
 
 
-def _out_of_order(x: np.ndarray, detail: np.ndarray, rules: Rules) -> np.ndarray:
+def _out_of_order(x: np.ndarray, details: dict[int, np.ndarray], rules: Rules) -> np.ndarray:
     """Readings of a running total that lie in a group all below or all above both neighbours, these being in
-    order. Some edge of such a group has a negative detail: the first reading if below, the one after if above."""
+    order. At the level of its width, the group is entered (if below) or left (if above) by a negative detail."""
     hit = np.zeros(len(x), dtype=bool)
-    falls = np.flatnonzero(detail < 0)
-    for k in range(1, rules.widest + 1):
-        p = np.unique(np.concatenate([falls, falls - k]))
+    for k, level in _widths(rules):
+        falls = np.flatnonzero(details[level] < 0)
+        p = np.unique(np.concatenate([falls - (1 << (level - 1)) + 1, falls - k]))
         p = p[(p >= 1) & (p + k < len(x))]
         if not len(p):
             continue
@@ -133,8 +138,8 @@ def _changes(rules: Rules, time: str, key: str, source: str):
         times, _, order = _ordered(table, time, key)
         names, sizes, counts = [], [], []
         for f in rules.prices:
-            detail = haar_details(_series(table.column(f), times, order)[0].values, 1)[0]
-            change, n = np.unique(np.abs(2 * detail[detail != 0]), return_counts=True)
+            detail = lifted_details(_series(table.column(f), times, order)[0].values, 1)
+            change, n = np.unique(np.abs(detail[detail != 0]), return_counts=True)
             names += [f] * len(n)
             sizes.append(change)
             counts.append(n)
@@ -150,12 +155,18 @@ def _changes(rules: Rules, time: str, key: str, source: str):
 def usual_steps(changes: DataFrame) -> DataFrame:
     """(source, field, step): the exact median of counted non-zero changes; the mean of the middle two if even.
 
-    ``changes``: source, field, change, n. Empty input gives no rows."""
-    counted = changes.groupBy("source", "field", "change").agg(F.sum("n").alias("n"))
+    ``changes``: source, field, change, n. Ranges of values (an eighth of an octave) are counted first; the values of the one or two
+    ranges that hold the middle are then placed one by one. Empty input gives no rows."""
+    counted = changes.groupBy("source", "field", "change").agg(F.sum("n").alias("n")).withColumn("span", F.floor(F.log2("change") * 8))
     by = Window.partitionBy("source", "field")
-    upto = by.orderBy("change").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(by)})
+    upto = lambda c: by.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
     low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    spans = counted.groupBy("source", "field", "span").agg(F.sum("n").alias("m"))
+    spans = spans.withColumns({"under": F.sum("m").over(upto("span")) - F.col("m"), "total": F.sum("m").over(by)})
+    spans = spans.where((F.col("under") + F.col("m") >= low) & (F.col("under") < high)).withColumnsRenamed({"source": "s_source", "field": "s_field", "span": "s_span"})
+    here = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("field") == F.col("s_field")) & (F.col("span") == F.col("s_span"))
+    within = Window.partitionBy("source", "field", "span").orderBy("change").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(spans, here).withColumn("upto", F.col("under") + F.sum("n").over(within))
     middle = placed.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high))
     return middle.groupBy("source", "field").agg(((F.min("change") + F.max("change")) / 2).alias("step"))
 
@@ -181,16 +192,16 @@ def _flags(rules: Rules, time: str, key: str):
             s = series[f][0]
             if not len(s.values):
                 continue
-            details = haar_details(s.values)
+            details = {j: lifted_details(s.values, j) for j in {1, *rules.levels}}
             emit(f, "impossible", s, s.values <= 0 if f in rules.prices else s.values < 0, None)
             if f in rules.totals:
-                emit(f, "spike", s, _out_of_order(s.values, details[0], rules), None)
+                emit(f, "spike", s, _out_of_order(s.values, details, rules), None)
             elif step.get(f):
                 with np.errstate(over="ignore"):
-                    strongest = np.max(np.abs(2 * np.stack(details)), axis=0) / step[f]
-                emit(f, "spike", s, _edges(s.values, details[0], rules.jump * step[f], rules), strongest)
+                    strongest = np.max(np.abs(np.stack([details[j] for j in rules.levels])), axis=0) / step[f]
+                emit(f, "spike", s, _edges(s.values, details, rules.jump * step[f], rules), strongest)
             still = np.zeros(len(s.values), dtype=bool)
-            zero = np.concatenate([[False], s.values[1:] == s.values[:-1], [False]])  # zero detail
+            zero = np.concatenate([[False], details[1][1:] == 0, [False]])
             begins = np.flatnonzero(zero[1:] & ~zero[:-1])
             ends = np.flatnonzero(zero[:-1] & ~zero[1:])
             for b, e in zip(begins, ends, strict=True):
@@ -216,7 +227,7 @@ def _flags(rules: Rules, time: str, key: str):
 def implausible_readings(df: DataFrame, key: str = "row_id", source: str = "contract", time: str = "exchtime", rules: Rules = Rules()) -> DataFrame:
     """Rows of implausible readings: row_key, source, field, kind (impossible, spike, stuck), score.
 
-    ``score`` is the strongest detail of the reading over three levels in usual steps, for a price's spike.
+    ``score`` is the strongest detail of the reading over the levels in usual steps, for a price's spike.
     Readings of a field are the rows of a source and calendar day with time and field, in order of time; rows
     of one time are one reading, whose value is that of the lowest key, and all of them are flagged with it.
     Null or NaN fields are no reading; rows without time are left out; a null source is a source of its own.
