@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
-from tickloom.operators.references import Parent, Reference, apply_changes, changes, key_state, orphan_references, orphan_report, reference_rows
+from pyspark.sql import functions as F
+
+from tickloom.operators.references import Parent, Reference, apply_changes, changes, existence, key_state, orphan_keys, orphan_references, orphan_report, orphans_under, reference_rows, state_of
 
 T = dt.datetime(2024, 1, 25)
 CHILD = "id string, ref string, at timestamp_ntz, status string"
@@ -66,7 +68,20 @@ def test_changes_merge_in_any_order(spark):
     first = all_changes.where("d_refs = 1")
     rest = all_changes.where("d_refs <> 1")
     assert {tuple(r) for r in apply_changes(key_state(rest), first).collect()} == whole
-    assert {(r.ref_key, r.refs, r.alive) for r in key_state(all_changes).collect()} == {("k1", 2, 0), ("k2", 1, 0), ("k3", 0, 1)}
+    now = key_state(all_changes).select("ref_key", "refs", existence(F.lit(minutes(99))).alias("alive"))
+    assert {tuple(r) for r in now.collect()} == {("k1", 2, 0), ("k2", 1, 0), ("k3", 0, 1)}
+
+
+def test_the_count_decides_whatever_is_delivered_how_often(spark):
+    """Several records and copies of a removed key leave an existence of 0; a removal before the record never lets it exist."""
+    parents = [("k1", minutes(n), "") for n in (1, 1, 2, 3)] + [("k2", minutes(9), ""), ("k3", None, "")]
+    children = [("a", "k1", minutes(0), ""), ("b", "k1", minutes(3), ""), ("c", "k1", minutes(5), ""), ("d", "k2", minutes(20), ""), ("e", "k3", minutes(1), ""), ("f", "k4", minutes(1), ""), ("g", "k5", None, "")]
+    refs, pars, removed = build(spark, children, parents, [("p", "k1", minutes(5)), ("p", "k1", minutes(6)), ("p", "k2", minutes(7)), ("p", "k4", minutes(2))])
+    state = state_of(refs, pars, removed)
+    end = state.select("ref_key", existence(F.lit(minutes(99))).alias("n"), existence(F.lit(minutes(4))).alias("four"))
+    assert {tuple(r) for r in end.collect()} == {("k1", 0, 1), ("k2", 0, 0), ("k3", 1, 1), ("k4", 0, 0), ("k5", 0, 0)}
+    assert {(r.row_key, r.status) for r in orphans_under(state, refs).collect()} == {("a", "late"), ("c", "deleted"), ("d", "deleted"), ("g", "missing")}
+    assert {r.ref_key for r in orphan_keys(state).collect()} == {"k1", "k2", "k5"}
 
 
 def test_empty(spark):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.lineage import checkpointed
 from tickloom.operators import anomalies, late_events, references, regular_grid
 from tickloom.sources import raw_lines
 from tickloom.sources.tables import table
@@ -39,9 +40,7 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return _gridded(spark, d).select("contract", "slot", "field", "value")
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    fills = table(spark, d, "fills")
-    records = table(spark, d, "order_records")
+def _referring(fills: DataFrame, records: DataFrame, decisions: DataFrame, snapshots: DataFrame) -> tuple[list[references.Reference], list[references.Parent]]:
     refs = [
         references.Reference("fills.order_id", fills, "order_id", "fill_id", "fill_ts", "order_records"),
         references.Reference("fills.decision_id", fills, "decision_id", "fill_id", "fill_ts", "decisions"),
@@ -50,9 +49,18 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     ]
     parents = [
         references.Parent("order_records", records, "order_id", "occurred_at"),
-        references.Parent("decisions", table(spark, d, "decisions"), "decision_id", "dec_ts"),
-        references.Parent("snapshots", table(spark, d, "snapshots").where(F.col("kind") == "book"), "snapshot_id", "available_at"),
+        references.Parent("decisions", decisions, "decision_id", "dec_ts"),
+        references.Parent("snapshots", snapshots.where(F.col("kind") == "book"), "snapshot_id", "available_at"),
     ]
+    return refs, parents
+
+
+def _referring_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("fills", "order_records", "decisions", "snapshots")]
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    refs, parents = _referring(*_referring_tables(spark, d))
     return references.orphan_references(refs, parents, table(spark, d, "retired_keys"))
 
 
@@ -64,6 +72,18 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, d))
 
 
+def p3_incremental(spark: SparkSession, d: str, cut: str = "2019-01-08 00:00:00") -> DataFrame:
+    """``p3_found`` from a stored state: the changes before ``cut`` are kept as a table, the later ones (and those without time) merged into it."""
+    tables, times, gone = _referring_tables(spark, d), ("fill_ts", "occurred_at", "dec_ts", "available_at"), table(spark, d, "retired_keys")
+    early = lambda c: F.coalesce(F.col(c) < F.lit(cut).cast("timestamp_ntz"), F.lit(False))
+    state = None
+    for first in (True, False):
+        refs, parents = _referring(*[t.where(early(c) == first) for t, c in zip(tables, times, strict=True)])
+        deltas = references.changes(references.reference_rows(refs), parents, gone.where(early("retired_at") == first))
+        state = checkpointed(references.key_state(deltas)) if state is None else references.apply_changes(state, deltas)
+    return references.orphans_under(state, _referring(*tables)[0]).select("ref_field", "row_key", "status").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return late_events.late_records(table(spark, d, "market_data"), table(spark, d, "snapshots")).select("src", "row_key", "status")
 
@@ -88,7 +108,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p1_found, p1_report, p2_found, p2_grid, p2_values, p3_found, p3_report, p4_found, p4_revisions, p5_found, p5_loaded, p5_report)
+    q.__name__: q for q in (p1_found, p1_report, p2_found, p2_grid, p2_values, p3_found, p3_report, p3_incremental, p4_found, p4_revisions, p5_found, p5_loaded, p5_report)
 }
 
 _SLOTS = """
@@ -180,6 +200,7 @@ SQL: dict[str, str] = {
     "p2_found": _SLOTS + "SELECT contract, slot, field FROM long WHERE value IS NULL",
     "p2_values": _SLOTS + "SELECT contract, slot, field, value FROM long",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_field, row_key, status FROM judged WHERE status IS NOT NULL",
+    "p3_incremental": _ORPHANS + "SELECT DISTINCT ref_field, row_key, status FROM judged WHERE status IS NOT NULL",
     "p3_report": _ORPHANS + "SELECT ref_field, ref_table, CAST(t AS DATE) AS period, status, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM judged WHERE status IS NOT NULL GROUP BY ALL",
     "p4_found": _LATE + "SELECT src, row_key, status FROM judged WHERE status IS NOT NULL",
     "p4_revisions": _LATE + """, cells AS (
