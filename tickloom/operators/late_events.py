@@ -40,25 +40,26 @@ SELECT src AS w_src, k AS w_k, arr_minute AS w_minute,
 FROM (SELECT src, k, arr_minute, max(last_ev) AS last_ev FROM cells GROUP BY 1, 2, 3)
 """
 
-FOUND = """
-SELECT src, row_key, CASE WHEN timestampdiff(MICROSECOND, ev, m) > {cutoff} * 1000000 THEN 'too_late' ELSE 'corrects' END AS status, k, ev, arr
+#: Every record with what it is: null in time, else corrects or too_late.
+JUDGED = """
+SELECT src, row_key, k, ev, arr, v, arr_minute, {minute:ev} AS ev_minute,
+       CASE WHEN m >= {minute:ev} + INTERVAL 1 MINUTE THEN CASE WHEN timestampdiff(MICROSECOND, ev, m) > {cutoff} * 1000000 THEN 'too_late' ELSE 'corrects' END END AS status
 FROM (
   SELECT r.*, greatest(w.mark, max(ev) OVER (PARTITION BY src, k, arr_minute ORDER BY arr, ord, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS m
   FROM (SELECT *, {minute:arr} AS arr_minute FROM records) r
   JOIN watermarks w ON r.src = w.w_src AND r.k <=> w.w_k AND r.arr_minute = w.w_minute
 )
-WHERE m >= {minute:ev} + INTERVAL 1 MINUTE
 """
 
+FOUND = "SELECT src, row_key, status, k, ev, arr FROM judged WHERE status IS NOT NULL"
+
 #: Each revision: what the minute held after an arrival minute that brought records within the cut-off.
 REVISIONS = """
 SELECT src, k, ev_minute, arr_minute, row_number() OVER seen AS revision, sum(n) OVER upto AS n, sum(n_v) OVER upto AS n_v, sum(sum_v) OVER upto AS sum_v,
        arr_minute = max(arr_minute) OVER (PARTITION BY src, k, ev_minute) AS is_final
 FROM (
-  SELECT src, k, {minute:ev} AS ev_minute, {minute:arr} AS arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS sum_v
-  FROM (SELECT r.* FROM records r LEFT ANTI JOIN (SELECT src, row_key, k, ev, arr FROM found WHERE status = 'too_late') f
-        ON r.src = f.src AND r.k <=> f.k AND r.ev = f.ev AND r.arr = f.arr AND r.row_key = f.row_key)
-  GROUP BY 1, 2, 3, 4
+  SELECT src, k, ev_minute, arr_minute, count(*) AS n, count(v) AS n_v, sum(v) AS sum_v
+  FROM judged WHERE status IS DISTINCT FROM 'too_late' GROUP BY 1, 2, 3, 4
 )
 WINDOW seen AS (PARTITION BY src, k, ev_minute ORDER BY arr_minute), upto AS (PARTITION BY src, k, ev_minute ORDER BY arr_minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
@@ -66,8 +67,8 @@ WINDOW seen AS (PARTITION BY src, k, ev_minute ORDER BY arr_minute), upto AS (PA
 
 def _query(market_data: DataFrame, snapshots: DataFrame, last: str, cutoff_s: int) -> DataFrame:
     spark: SparkSession = market_data.sparkSession
-    steps = [("records", RECORDS), ("cells", CELLS), ("watermarks", WATERMARKS), ("found", FOUND), ("revisions", REVISIONS)]
-    ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in steps[: [n for n, _ in steps].index(last) + 1])
+    steps = [("records", RECORDS), ("cells", CELLS), ("watermarks", WATERMARKS), ("judged", JUDGED), ("found", FOUND), ("revisions", REVISIONS)]
+    ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in steps)
     ctes = re.sub(r"\{minute:(\w+)\}", MINUTE, ctes.replace("{cutoff}", str(int(cutoff_s))))
     return spark.sql(f"WITH {ctes} SELECT * FROM {last}", market_data=market_data, snapshots=snapshots)
 
