@@ -69,7 +69,8 @@ def mutated(rng):
     for _ in range(rng.randrange(0, 3)):
         i = rng.randrange(len(f))
         f[i] = rng.choice(["", " ", "\t5 ", '"7"', '"7', '7"', '"a""b"', '"1,5"', "+3", "-3", "-0", "1e3", "1e999", ".5", "5.", ".", "NaN", "inf", "0x1", "2147483648", "9223372036854775808", "1 2", "٣", "5\r", "5\n",
-                           "2024-02-30 00:00:00", "2024-02-29 23:59:59.1", "2024-01-25T09:00:00", "2024-01-25 24:00:00", "2024-01-25 09:00:00.", "2024-01-25 09:00:00.1234567890", "0000-01-01 00:00:00", "\x01", "\\"])
+                           "2024-02-30 00:00:00", "2024-02-29 23:59:59.1", "2024-01-25T09:00:00", "2024-01-25 24:00:00", "2024-01-25 09:00:00.", "2024-01-25 09:00:00.1234567890", "0000-01-01 00:00:00", "\x01", "\\",
+                           "-2024-01-25 09:00:00", "+12024-01-25 09:00:00", "12024-01-25 09:00:00", "2024-01-25 09:00:60", "2024-1-25 09:00:00", " 2024-01-25 09:00:00\t", "1d", "1F", "+-1", "1.5.2", "e5", "1E+2", "-", "\x00", "007", "1:2", "-9223372036854775808", "00000000000000000000005"])
     if rng.random() < 0.1:
         f = f[: rng.randrange(len(f))]
     if rng.random() < 0.1:
@@ -95,3 +96,16 @@ def test_values_are_loaded(spark):
     assert row.bidpx4 == 100.0 and row.bidvol4 == 7 and row.openinterest == 9 and row.totalvalue is None
     assert row.timestamp == dt.datetime(2024, 1, 25, 9, 0, 0, 123456)
     assert loaded(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_both_reads_load_the_same_values(spark):
+    """A valid line and the same one with a quoted field, which only the text read can load."""
+    clocks = ["2024-01-25 09:00:00", "2024-01-25 09:00:00.1", "1999-12-31 23:59:59.123456789", "0001-01-01 00:00:00.000001"]
+    numbers = ["0", "-0", "1e-7", "123456789.123456789", "1.7976931348623157e308", "+.5", "5."]
+    rows, rng = [], random.Random(5)
+    for i in range(60):
+        f = base()
+        f[0], f[2], f[-3] = rng.choice(clocks), rng.choice(numbers), str(rng.randrange(10**18))
+        rows += [(2 * i, "f", 1, ",".join(f), "", ""), (2 * i + 1, "f", 1, ",".join([*f[:-1], f'"{f[-1]}"']), "", "")]
+    got = {r.line_id: tuple(r)[3:] for r in loaded(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 120 and all(got[2 * i] == got[2 * i + 1] for i in range(60))
