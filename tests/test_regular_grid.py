@@ -1,9 +1,11 @@
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pytest
 
-from tickloom.operators.regular_grid import missing_slots, regular_grid, session_windows
+from tickloom.operators.regular_grid import Grid, missing_slots, regular_grid, session_windows
 
 SCHEMA = "row_id long, contract string, exchtime timestamp_ntz, lastpx double, openinterest long, slot string, value string"
 WINDOWS = [(1, "09:00:00", "10:15:00"), (2, "10:30:00", "11:30:00")]
@@ -28,6 +30,60 @@ def test_slots_marks_and_fills(spark):
     fills = [got["A", f"09:00:{s}0", "lastpx"].filled for s in range(6)]
     assert all(a <= b + 1e-6 for a, b in zip(fills, fills[1:])) and math.isclose(fills[0], 101) and math.isclose(fills[4], 105)
     assert got[None, "09:10:00", "openinterest"].filled == 7
+    marks = {s: got["A", s, "lastpx"].mark for s in ("09:00:00", "09:00:10", "09:00:50", "10:30:00")}
+    assert marks == {"09:00:00": "observed", "09:00:10": "bridged", "09:00:50": "carried", "10:30:00": "predicted"}
+    nothing = regular_grid(spark.createDataFrame([(1, "Z", at("09:00:00"), None, 3, "", "")], SCHEMA), WINDOWS).where("field = 'lastpx'").collect()
+    assert [(r.mark, r.filled) for r in nothing] == [("unknown", None)]
+
+
+def features(day, slot, origin, grid=Grid()):
+    tau = (slot * grid.slot_s + grid.slot_s / 2) / 86400
+    x = [1.0, tau + day - origin]
+    for k in range(1, grid.harmonics + 1):
+        x += [math.cos(2 * math.pi * k * tau), math.sin(2 * math.pi * k * tau)]
+    return x
+
+
+def test_equals_a_plain_regression_with_bridges(spark):
+    """Every prediction and fill against the regression solved at once over all slots, and each gap bridged by hand."""
+    rng, rows, i = random.Random(8), [], 0
+    for c in ("A", "B"):
+        for d in range(3):
+            for s in range(9 * 3600, 9 * 3600 + 1800, 10):
+                if rng.random() < 0.4:
+                    continue
+                i += 1
+                px = None if rng.random() < 0.2 else 500 + 4 * d + math.sin(s / 3000) * 3 + rng.random()
+                rows.append((i, c, dt.datetime(2024, 3, 1) + dt.timedelta(days=d, seconds=s + rng.randrange(10)), px, 5, "", ""))
+    got = regular_grid(spark.createDataFrame(rows, SCHEMA), [(1, "09:00:00", "15:00:00")]).where("field = 'lastpx'").collect()
+    epoch = dt.date(1970, 1, 1)
+    for c in ("A", "B"):
+        seen, ends = {}, {}
+        for _, k, t, px, *_ in sorted(r for r in rows if r[1] == c):
+            day, slot = (t.date() - epoch).days, (t.hour * 3600 + t.minute * 60 + t.second) // 10
+            ends.setdefault(day, []).append(slot)
+            if px is not None:
+                seen[day, slot] = px
+        days = [d for d, _ in seen]
+        origin = round(sum(days) / len(days))
+        x, y = np.array([features(d, s, origin) for d, s in seen]), np.array(list(seen.values()))
+        penalty = Grid().ridge * len(y) * np.eye(x.shape[1])
+        penalty[0, 0] = 0
+        level = y.mean()
+        beta = np.linalg.solve(x.T @ x + penalty, x.T @ (y - level))
+        fit = lambda d, s: float(np.dot(features(d, s, origin), beta) + level)  # noqa: E731, B023
+        mine = {((r.day - epoch).days, (int(r.slot[11:13]) * 3600 + int(r.slot[14:16]) * 60 + int(r.slot[17:])) // 10): r for r in got if r.contract == c}
+        assert set(mine) == {(d, s) for d, own in ends.items() for s in range(min(own), max(own) + 1)}
+        for (d, s), r in mine.items():
+            assert r.value == seen.get((d, s)) and math.isclose(r.predicted, fit(d, s), abs_tol=1e-6)
+            if r.value is not None:
+                assert r.mark == "observed" and r.filled == r.value
+                continue
+            a = max((t for e, t in seen if e == d and t < s), default=None)
+            b = min((t for e, t in seen if e == d and t > s), default=None)
+            off = [None if t is None else seen[d, t] - fit(d, t) for t in (a, b)]
+            bridge = off[0] + (off[1] - off[0]) * (s - a) / (b - a) if None not in off else off[0] if off[0] is not None else off[1]
+            assert math.isclose(r.filled, fit(d, s) + bridge, abs_tol=1e-6)
 
 
 def test_season_and_trend_are_learned(spark):
@@ -40,7 +96,7 @@ def test_season_and_trend_are_learned(spark):
             i += 1
             rows.append((i, "A", dt.datetime(2024, 1, 1) + dt.timedelta(days=d, seconds=s), value(d, s), 5, "", ""))
     out = regular_grid(spark.createDataFrame(rows, SCHEMA), [(1, "09:00:00", "15:00:00")])
-    gaps = [r for r in out.where("is_missing and field = 'lastpx'").collect()]
+    gaps = [r for r in out.where("mark <> 'observed' and field = 'lastpx'").collect()]
     assert len(gaps) == 180
     for r in gaps:
         s = int(r.slot[11:13]) * 3600 + int(r.slot[14:16]) * 60 + int(r.slot[17:])

@@ -133,13 +133,14 @@ def regular_grid(
     df: DataFrame, windows: list[tuple[int, str, str]], fields: tuple[str, ...] = ("lastpx", "openinterest"), grid: Grid = Grid(),
     source: str = "contract", time: str = "exchtime", key: str = "row_id",
 ) -> DataFrame:
-    """(contract, day, win, slot, field, value, is_missing, predicted, filled) for every slot of every stretch.
+    """(contract, day, win, slot, field, value, mark, predicted, filled) for every slot of every stretch.
 
     A stretch is a source, calendar day and session window; its slots run from that of its first row to that of
     its last, whatever these hold. ``value`` is the reading of the latest row (then of the highest key) that has
     one; NaN counts as null. ``filled`` is ``value``, or in a gap the prediction plus the residuals of the readings before and
     after it, in proportion to the distance; at an open end, plus the one residual there is; with no reading of the
-    field in the stretch, the bare prediction; null if the source has no reading of the field at all. Rows without
+    field in the stretch, the bare prediction; null if the source has no reading of the field at all. ``mark`` says which of these it
+    is: observed, bridged, carried, predicted or unknown. Rows without
     time or outside the windows are left out; a null source is a source of its own; other columns are ignored.
     """
     clean = df.withColumns({f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f)) for f in fields})
@@ -171,15 +172,18 @@ def regular_grid(
     })
     share = (F.col("slot") - F.col("before.s")) / (F.col("after.s") - F.col("before.s"))
     bridge = F.when(F.col("before").isNull(), F.coalesce(F.col("right_off"), F.lit(0.0))).when(F.col("after").isNull(), F.col("left_off")).otherwise(F.col("left_off") + (F.col("right_off") - F.col("left_off")) * share)
+    filled = F.coalesce(F.col("value"), F.col("predicted") + bridge)
+    ends = F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")
+    mark = F.when(F.col("value").isNotNull(), "observed").when(filled.isNull(), "unknown").when(ends == 2, "bridged").when(ends == 1, "carried").otherwise("predicted")
     second = F.col("slot") * grid.slot_s
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     clock = F.concat_ws(":", pad(F.floor(second / 3600)), pad(F.floor(second / 60) % 60), pad(second % 60))
     return fit.select(
         F.col("of").alias("contract"), "day", "win", F.concat_ws(" ", F.date_format("day", "yyyy-MM-dd"), clock).alias("slot"), "field", "value",
-        F.col("value").isNull().alias("is_missing"), "predicted", F.coalesce(F.col("value"), F.col("predicted") + bridge).alias("filled"),
+        mark.alias("mark"), "predicted", filled.alias("filled"),
     )
 
 
 def missing_slots(gridded: DataFrame) -> DataFrame:
-    """(contract, slot, field) of the slots that no reading fills."""
-    return gridded.where("is_missing").select("contract", "slot", "field")
+    """(contract, slot, field) of the slots that the model had to fill, or could not."""
+    return gridded.where(F.col("mark") != "observed").select("contract", "slot", "field")
