@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm.encoding import Tree, decoded, default_vocabulary, token_counts, token_ids
+from tickloom.llm.encoding import Tree, decoded, default_vocabulary, token_counts, token_ids, tree_of
 
 PATH = default_vocabulary()
 TEXT = st.lists(
@@ -44,3 +44,12 @@ def test_rows(spark):
     assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {i: len(x) for i, x in rows.items()}
     assert {r.doc_id: r.text for r in decoded(token_ids(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert token_ids(df.limit(0)).count() == 0
+
+
+def test_ordinary_texts_are_joined():
+    """Nothing goes round the tree: a text of several leaves has one join less than leaves, whatever the batch."""
+    tree = Tree(PATH)
+    texts = ["short", None, "", *["The quick brown fox doesn't jump over it, " * n for n in range(1, 30)]]
+    assert tree.encode_all(texts) == [tree.vocabulary.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    assert tree.joins == sum(len(tree_of(len(t), tree.leaf)[0]) - 1 for t in texts if t) > 29
+    assert tree.joins <= tree.windows < 2 * tree.joins

@@ -8,7 +8,9 @@ word, and (2) from any word start that the window's words and the right piece's
 piece's words stand, as they depend on what follows only. The window starts at the last place of kind (1) and grows,
 doubling, until it meets a place of kind (2).
 
-Each text is one row and one tree, so there is no shuffle; leaves of a batch of rows are encoded together.
+Each text is one row and one tree, so there is no shuffle. The trees of a batch of rows are reduced together: all leaves are
+encoded in one call, then all windows of each height of the trees. Leaves are shorter than most texts, so that the
+ids of the corpus come up the trees; a longer leaf gives the same ids.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 4096
+LEAF = 128
 #: Characters of the longest fixed word that begins with an apostrophe.
 CONTRACTION = 3
 
@@ -57,6 +59,48 @@ class Piece:
     ids: list[int]
 
 
+@dataclass
+class Seam:
+    """A join under way: the left piece's words that stay, and how many words of the right piece the window takes in."""
+
+    text: str
+    left: Piece
+    right: Piece
+    keep: int
+    begin: int
+    reach: int = 3
+
+    @property
+    def end(self) -> int:
+        return self.right.starts[self.reach] if self.reach < len(self.right.starts) else self.right.end
+
+
+@functools.lru_cache(maxsize=65_536)
+def tree_of(length: int, leaf: int) -> tuple[tuple[tuple[int, int], ...], tuple[tuple[tuple[int, int], ...], ...]]:
+    """The leaves (spans) of a text's tree by halving, and by height the pairs of neighbouring nodes to join; leaves are
+    numbered first, then the joins in their order."""
+    leaves: list[tuple[int, int]] = []
+    heights: list[list[tuple]] = []
+
+    def build(start: int, end: int) -> tuple:
+        if end - start <= leaf:
+            leaves.append((start, end))
+            return (0, len(leaves) - 1)
+        middle = (start + end) // 2
+        a, b = build(start, middle), build(middle, end)
+        height = max(a[0], b[0]) + 1
+        if len(heights) < height:
+            heights.append([])
+        heights[height - 1].append((a, b))
+        return (height, len(heights[height - 1]) - 1)
+
+    build(0, length)
+    base = [0, len(leaves)]
+    for h in heights:
+        base.append(base[-1] + len(h))
+    return tuple(leaves), tuple(tuple((base[a[0]] + a[1], base[b[0]] + b[1]) for a, b in h) for h in heights)
+
+
 class Tree:
     """Encodes and decodes over trees with leaves of at most ``leaf`` characters."""
 
@@ -64,19 +108,21 @@ class Tree:
         if leaf < 1:
             raise ValueError("a leaf has at least one character")
         self.vocabulary, self.leaf = tokenizer(path), leaf
-
-    def piece(self, text: str, start: int, end: int) -> Piece:
-        part = text[start:end]
-        encoded = self.vocabulary.encode(part, add_special_tokens=False)
-        words = self.vocabulary.pre_tokenizer.pre_tokenize_str(part)
-        first, last = [], -1
-        for at, word in enumerate(encoded.word_ids):
-            if word != last:
-                first.append(at)
-                last = word
-        if len(first) != len(words):
-            raise RuntimeError("words and tokens of a piece differ")
-        return Piece(start, end, [start + span[0] for _, span in words], first, encoded.ids)
+        #: Joins made and windows encoded for them.
+        self.joins = self.windows = 0
+
+    def pieces(self, parts: list[tuple[str, int, int]], whole: bool = False) -> list[Piece]:
+        """The encodings of spans of texts; with ``whole``, a span that is its text comes without words."""
+        out = []
+        for (text, start, end), e in zip(parts, self.vocabulary.encode_batch([t[a:b] for t, a, b in parts], add_special_tokens=False), strict=True):
+            if whole and start == 0 and end == len(text):  # no join will ask for its words
+                out.append(Piece(start, end, [], [], e.ids))
+                continue
+            words, offsets = e.word_ids, e.offsets
+            first = [0] if words else []
+            first += [i for i, (a, b) in enumerate(zip(words, words[1:], strict=False), 1) if a != b]
+            out.append(Piece(start, end, [start + offsets[i][0] for i in first], first, e.ids))
+        return out
 
     @staticmethod
     def settled(text: str, p: Piece) -> int:
@@ -93,57 +139,62 @@ class Tree:
                 first_open = i
         return first_open
 
-    def join(self, text: str, left: Piece, right: Piece) -> Piece:
-        """The encoding of two neighbours as one piece."""
-        if not left.starts or not right.starts:
-            return Piece(left.start, right.end, left.starts + right.starts, left.first + right.first, left.ids + right.ids)
-        keep = self.settled(text, left)
-        begin = left.starts[keep] if keep < len(left.starts) else left.end
-        reach = 4
-        while True:
-            end = right.starts[reach] if reach < len(right.starts) else right.end
-            window = self.piece(text, begin, end)
-            upto = len(window.starts) if end == right.end else self.settled(text, window)
-            meet, at = None, 0
-            for at in range(upto):
-                if window.starts[at] >= right.start:
-                    j = bisect.bisect_left(right.starts, window.starts[at])
-                    if j < len(right.starts) and right.starts[j] == window.starts[at]:
-                        meet = j
-                        break
-            if meet is not None or end == right.end:
+    def _joined(self, s: Seam, window: Piece) -> Piece | None:
+        """The join by a window; None if it has to grow."""
+        left, right = s.left, s.right
+        last = window.end == right.end
+        upto = len(window.starts) if last else self.settled(s.text, window)
+        for at in range(bisect.bisect_left(window.starts, right.start, 0, upto), upto):
+            meet = bisect.bisect_left(right.starts, window.starts[at])
+            if meet < len(right.starts) and right.starts[meet] == window.starts[at]:
                 break
-            reach *= 2
-        if meet is None:
+        else:
+            if not last:
+                return None
             meet, at = len(right.starts), len(window.starts)
-        a = left.first[keep] if keep < len(left.first) else len(left.ids)
+        a = left.first[s.keep] if s.keep < len(left.first) else len(left.ids)
         b = window.first[at] if at < len(window.first) else len(window.ids)
         c = right.first[meet] if meet < len(right.first) else len(right.ids)
         return Piece(
-            left.start, right.end, left.starts[:keep] + window.starts[:at] + right.starts[meet:],
-            left.first[:keep] + [a + x for x in window.first[:at]] + [a + b - c + x for x in right.first[meet:]], left.ids[:a] + window.ids[:b] + right.ids[c:],
+            left.start, right.end, left.starts[: s.keep] + window.starts[:at] + right.starts[meet:],
+            left.first[: s.keep] + [a + x for x in window.first[:at]] + [a + b - c + x for x in right.first[meet:]], left.ids[:a] + window.ids[:b] + right.ids[c:],
         )
 
-    def encoded(self, text: str, start: int, end: int) -> Piece:
-        if end - start <= self.leaf:
-            return self.piece(text, start, end)
-        middle = (start + end) // 2
-        return self.join(text, self.encoded(text, start, middle), self.encoded(text, middle, end))
+    def join(self, pairs: list[tuple[str, Piece, Piece]]) -> list[Piece]:
+        """The encodings of pairs of neighbours, each as one piece."""
+        out: list[Piece | None] = [None] * len(pairs)
+        seams: dict[int, Seam] = {}
+        for i, (text, left, right) in enumerate(pairs):
+            keep = self.settled(text, left)
+            seams[i] = Seam(text, left, right, keep, left.starts[keep] if keep < len(left.starts) else left.end)
+        self.joins += len(seams)
+        while seams:
+            self.windows += len(seams)
+            for (i, s), window in zip(list(seams.items()), self.pieces([(s.text, s.begin, s.end) for s in seams.values()]), strict=True):
+                out[i] = self._joined(s, window)
+                if out[i] is None:
+                    s.reach *= 2
+                else:
+                    del seams[i]
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of many texts, none for an empty or null one: leaves first, then all trees joined height by height."""
+        trees = {i: tree_of(len(t), self.leaf) for i, t in enumerate(texts) if t}
+        leaves = self.pieces([(texts[i], a, b) for i, (spans, _) in trees.items() for a, b in spans], True)
+        nodes, at = {}, 0
+        for i, (spans, _) in trees.items():
+            nodes[i] = leaves[at : at + len(spans)]
+            at += len(spans)
+        for height in range(max((len(h) for _, h in trees.values()), default=0)):
+            wanted = [(i, a, b) for i, (_, h) in trees.items() if height < len(h) for a, b in h[height]]
+            for (i, _, _), piece in zip(wanted, self.join([(texts[i], nodes[i][a], nodes[i][b]) for i, a, b in wanted]), strict=True):
+                nodes[i].append(piece)
+        return [nodes[i][-1].ids if i in nodes else [] for i in range(len(texts))]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for an empty or null one."""
-        return self.encoded(text, 0, len(text)).ids if text else []
-
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of many texts: those of one leaf in one call, the others over their trees."""
-        out: list[list[int]] = [[]] * len(texts)
-        short = [i for i, t in enumerate(texts) if t and len(t) <= self.leaf]
-        for i, e in zip(short, self.vocabulary.encode_batch([texts[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        for i, t in enumerate(texts):
-            if t and len(t) > self.leaf:
-                out[i] = self.encode(t)
-        return out
+        return self.encode_all([text])[0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes of ids: halves are decoded and concatenated up the tree."""
