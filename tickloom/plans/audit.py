@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ticks
+from tickloom.functions.lineage import scratch
 from tickloom.operators import integrity, signals, stress
 from tickloom.plans import market
 from tickloom.sources import files
@@ -29,15 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='files-')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT contract, CAST(exchtime AS DATE) AS day, count(*) AS n, count(lastpx) AS n_px, CAST(sum(totalvol % 1000) AS BIGINT) AS check_vol, max(exchtime) AS last_ts FROM market_data WHERE exchtime IS NOT NULL AND contract IS NOT NULL GROUP BY 1, 2")
 def day_csv_scan(spark, d):
     """Snapshots written as CSV by day and contract and read again."""
-    root = folder(spark)
+    root = scratch(spark)
     rows = table(spark, d, "market_data").where("exchtime is not null and contract is not null").withColumn("day", F.to_date("exchtime")).select("contract", "day", *COLUMNS)
     files.write_day_csv(rows, root)
     return files.read_day_csv(spark, root).groupBy("contract", F.col("day").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count("lastpx").alias("n_px"), F.sum(F.expr("totalvol % 1000")).alias("check_vol"), F.max("exchtime").alias("last_ts"))
@@ -46,7 +39,7 @@ def day_csv_scan(spark, d):
 @query("SELECT row_id, decision_id, feed_seq, dec_ts, signals FROM decisions")
 def json_lines_scan(spark, d):
     """Decisions written as JSON lines and read again under their schema."""
-    root = folder(spark)
+    root = scratch(spark)
     files.write_json_lines(table(spark, d, "decisions", "row_id", "decision_id", "feed_seq", "dec_ts", "signals"), root)
     return files.read_json_lines(spark, root, "row_id string, decision_id string, feed_seq long, dec_ts timestamp_ntz, signals string")[0]
 

@@ -7,7 +7,6 @@ that ``spark.checkpoint.dir`` names; the sink and its checkpoint live together,
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.functions.lineage import scratch
 from tickloom.kernel.positions import Position
 
 
@@ -31,8 +31,7 @@ def table_stream(spark: SparkSession, directory: str, name: str, files_per_batch
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs the stream over what is there and returns what it wrote."""
     spark = stream.sparkSession
-    root = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    out = f"{root}/{uuid.uuid4().hex}"
+    out = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(spark)
     query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
