@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from tickloom.llm.spam import BREAK, CODE, LINK, TAG, features, language, listed_share, spam_pages, stuffed, words_of
 
@@ -56,8 +57,31 @@ def test_words():
     assert stuffed(["甲耳机乙", "丙耳机丁"] * 4, "zh", 8, 0.2)
 
 
+def test_names_of_any_length():
+    assert stuffed((["one", "two", "three", "four", "five", "six"] + ["filler"] * 5) * 8, "en", 8, 0.5)
+    name = "甲乙丙丁戊己"
+    assert stuffed([c + name + d for c, d in zip("子丑寅卯辰巳午未", "天地玄黄宇宙洪荒", strict=True)] + ["春夏秋冬日月星辰" * 9], "zh", 8, 0.35)
+    many = [f"{w}的在" for w in "甲乙丙丁戊己庚辛壬"] + ["的在"] * 3 + ["耳机"] * 8  # a commoner sequence of function characters hides nothing
+    assert stuffed(many, "zh", 8, 0.2)
+    assert not stuffed(["的在"] * 40, "zh", 8, 0.2)
+
+
+def test_rare_words_and_small_languages(spark):
+    """Goods named a few times each in a large core, and a language of six documents, are judged like all others."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(3, 9)), "en") for i in range(500)]
+    rare = [f"good{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    for i in range(60):
+        rows.append((1000 + i, ", ".join(f"buy {w}" for w in rng.sample(rare, 25)), "en"))
+    rows += [(2000 + i, "Der alte Müller hat das Rad vor dem Haus in der Nacht mit seinem Sohn und mit der Frau des Nachbarn repariert.", "de") for i in range(5)]
+    rows.append((3000, " ".join(["#sofa", "#lampe", "#tisch", "#kessel"] * 12), "de"))
+    got = {r.row_key for r in spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {*range(1000, 1060), 3000}
+
+
 def test_language():
-    assert language("Это утро", "en") == "ru" and language("早上好", None) == "zh" and language("123 !", "en") == "other"
-    assert language("the man in the boat", "de") == "en" and language("sofa kettle", "FR-XX") == "fr" and language("sofa kettle", None) == "other"
+    of = lambda text, declared: language(text, declared, Counter(words_of(text)))
+    assert of("Это утро", "en") == "ru" and of("早上好", None) == "zh" and of("123 !", "en") == "other"
+    assert of("the man in the boat", "de") == "en" and of("sofa kettle", "FR-XX") == "fr" and of("sofa kettle", None) == "other"
     for text in ("", "\x00", "💥" * 100, "a" * 50_000, "http://" * 200):
         features(text, None)
