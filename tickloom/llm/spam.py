@@ -201,12 +201,12 @@ def featured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
         def counted() -> pa.RecordBatch:
-            out = batch(len(seen), part=["word"] * len(seen), lang=[g for g, _ in seen], word=[w for _, w in seen], n=list(seen.values()))
+            langs, words, counts = [g for g, c in seen.items() for _ in c], [w for c in seen.values() for w in c], [n for c in seen.values() for n in c.values()]
             seen.clear()
-            return out
+            return batch(len(words), part=["word"] * len(words), lang=langs, word=words, n=counts)
 
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -214,9 +214,9 @@ def featured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 texts = some.column("t").to_pylist()
                 made = [features(t, g) for t, g in zip(texts, some.column("l").to_pylist(), strict=True)]
                 for g, _, words in made:
-                    seen.update([(g, w) for w in words])
-                yield batch(len(made), part=["page"] * len(made), row_key=some.column("k"), lang=[m[0] for m in made], x=[m[1] for m in made], text=texts)
-                if len(seen) >= COUNTED:
+                    seen.setdefault(g, Counter()).update(words)
+                yield batch(len(made), part=["page"] * len(made), row_key=some.column("k"), lang=[m[0] for m in made], x=[m[1] for m in made], text=some.column("t"))
+                if sum(map(len, seen.values())) >= COUNTED:
                     yield counted()
         yield counted()
 
