@@ -42,9 +42,12 @@ def test_position_conserves_value(fills):
 def test_depth_is_consumed_once():
     book = DepthBook([], [(77985, 10), (77990, 10)])
     assert book.execute("buy", 77990, 4, 0.5).levels == ((77985, 4),)
-    second = book.execute("buy", 77990, 4, 0.5)
-    assert second.levels == ((77985, 1), (77990, 3)) and second.status == "filled"
-    assert book.execute("buy", 77990, 9, 0.5).status == "partial" and book.execute("buy", 77990, 1, 0.5).reason == "no_executable_depth"
+    second = book.execute("buy", 77990, 4, 0.5)  # half of the six that are left, and one of the next level
+    assert second.levels == ((77985, 3), (77990, 1)) and second.status == "filled"
+    third = book.execute("buy", 77990, 9, 0.5)
+    assert third.levels == ((77985, 1), (77990, 4)) and third.status == "partial"
+    whole = DepthBook([], [(10, 4)])
+    assert whole.execute("buy", 10, 4, 1.0).status == "filled" and whole.execute("buy", 10, 1, 1.0).reason == "no_executable_depth"
     assert book.execute("buy", 77000, 1, 0.5).status == "rejected" and book.execute("sell", 1, 1, 0.5).reason == "empty_book"
     assert DepthBook([(5, 1)], [(5, 1)]).execute("buy", 9, 1, 1).status == "failed"
     assert take_at_touch(5, 5, 5, 9) == 2 and take_at_touch(6, 5, 5, 9) == 0

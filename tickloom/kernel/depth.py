@@ -20,12 +20,11 @@ class Execution:
 
 
 class DepthBook:
-    """One snapshot of both sides, best level first. Each level gives floor(quantity x participation) once, however
-    many orders come; only a newer snapshot replenishes it."""
+    """One snapshot of both sides, best level first. An order has floor(quantity x participation) of a level at most, of what the orders
+    before have left of it; only a newer snapshot replenishes it."""
 
     def __init__(self, bids: list[Level], asks: list[Level]):
         self.sides = {"buy": [list(x) for x in asks if x[1] > 0], "sell": [list(x) for x in bids if x[1] > 0]}
-        self.given: dict[tuple[str, int], int] = {}
 
     def error(self) -> str | None:
         bids, asks = self.sides["sell"], self.sides["buy"]
@@ -47,15 +46,15 @@ class DepthBook:
         if (limit - touch) * sign < 0:
             return Execution("rejected", "limit_not_marketable", 0, (), touch)
         taken, left = [], qty
-        for i, (px, size) in enumerate(levels):
+        for level in levels:
+            px, size = level
             if not left or (limit - px) * sign < 0:
                 break
-            can = int(size * participation) - self.given.get((side, i), 0)
-            n = min(left, can)
+            n = min(left, int(size * participation))
             if n > 0:
                 taken.append((px, n))
                 left -= n
-                self.given[side, i] = self.given.get((side, i), 0) + n
+                level[1] = size - n
         if not taken:
             return Execution(when_empty, "no_executable_depth", 0, (), touch)
         return Execution("partial" if left else "filled", None, qty - left, tuple(taken), touch)

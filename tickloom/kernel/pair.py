@@ -67,6 +67,7 @@ class PairReplay:
                 self._post("quoted", "maker", key, m.side * n, m.px, self.life.intents[key].state)
         for m in self.waiting:  # decided in an earlier batch: in the queue from now on
             self.life.move(m.order_id, "arrived", self.batch)
+            m.ahead = self._queue_at(m)
             self.matcher.register(m)
         self.waiting = []
         self._hedge("hedge")
@@ -74,6 +75,12 @@ class PairReplay:
         if len(self.books) == 2:
             self._decide()
 
+    def _queue_at(self, m: Maker) -> int:
+        """What stands at a maker's price when it arrives: displayed quantity and the own orders there."""
+        book = self.books["quoted"]
+        shown = sum(q for p, q in (book.bids if m.side > 0 else book.asks) if p == m.px)
+        return int(shown) + sum(o.left for o in self.matcher.makers if o.side == m.side and o.px == m.px)
+
     def _hedge(self, source: str) -> None:
         wanted = -self.position["quoted"] * self.t.quoted_weight / self.t.hedge_weight
         size = int(wanted) - self.position["hedge"]
@@ -104,8 +111,7 @@ class PairReplay:
                 continue
             key = f"maker-{self.batch}-{side}"
             if self.life.submit(key, self.t.qty, self.batch):
-                px, shown = levels[0]
-                self.waiting.append(Maker(key, side, px, self.t.qty, int(shown), (self.batch, side)))
+                self.waiting.append(Maker(key, side, levels[0][0], self.t.qty, 0, (self.batch, side)))
                 self.born[key] = self.batch
 
     def finish(self) -> str:

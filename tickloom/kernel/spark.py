@@ -7,6 +7,7 @@ side by side: the parameters of a combination are a column, so a grid is more gr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -188,17 +189,17 @@ def hysteresis_trades(series: DataFrame, enter: float, leave: float) -> DataFram
     return rows.groupBy("contract", "day").applyInArrow(run, "contract string, entry_row long, exit_row long, side long, pnl_ticks long")
 
 
-
-
 LEDGER = "pair_id string, day date, seq int, batch int, leg string, source string, order_key string, delta long, px double, status string, quoted_pos long, hedge_pos long"
 
 
 def pair_replay(batches: DataFrame, terms: Terms) -> DataFrame:
     """The ledger of the strict replay of every pair and day, one row per effect in order (``seq``), and a last one of source ``end`` with
-    the disposition as its status. ``batches``: pair_id, day, exchtime, and per leg (quoted, hedge) row_id, bids, asks and traded, carried forward."""
+    the disposition as its status. ``batches``: pair_id, day, exchtime, and per leg (quoted, hedge) row_id, bids, asks and traded, carried forward;
+    with ``quoted_multiplier`` and ``hedge_multiplier``, a hedge offsets the quoted leg's risk in these."""
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        play, last = PairReplay(terms), {}
+        weights = {f"{leg}_weight": next((w for w in table.column(f"{leg}_multiplier").to_pylist() if w), 1.0) for leg in ("quoted", "hedge") if f"{leg}_multiplier" in table.column_names}
+        play, last = PairReplay(replace(terms, **weights)), {}
         table = table.sort_by("exchtime")
         legs = {leg: list(zip(table.column(f"{leg}_row_id").to_pylist(), _pairs(table, f"{leg}_bids"), _pairs(table, f"{leg}_asks"), strict=True)) for leg in ("quoted", "hedge")}
         for n, traded in enumerate(_pairs(table, "quoted_traded")):

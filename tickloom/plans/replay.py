@@ -118,8 +118,8 @@ def depth_execution(spark, d):
 
 def _pair_ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = cleaning.interval_buckets(cleaning.epochs(cleaning.keep_last(market.md(spark, d))), "tick", "multiplier")
-    rows = rows.select("pair_id", "leg", "day", "exchtime", "row_id", market._book("bid").alias("bids"), market._book("ask").alias("asks"), F.col("buckets").alias("traded"))
-    return kernel.pair_replay(alignment.paired(rows, ("quoted", "hedge"), ("pair_id", "day"), "exchtime", ("row_id", "bids", "asks", "traded")), Terms())
+    rows = rows.select("pair_id", "leg", "day", "exchtime", "row_id", market._book("bid").alias("bids"), market._book("ask").alias("asks"), F.col("buckets").alias("traded"), "multiplier")
+    return kernel.pair_replay(alignment.paired(rows, ("quoted", "hedge"), ("pair_id", "day"), "exchtime", ("row_id", "bids", "asks", "traded", "multiplier")), Terms())
 
 
 @query()
