@@ -1,9 +1,10 @@
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm.mixing import mixed, schedule, slots_of
+from tickloom.llm.mixing import mixed, schedule, slots_needed
 
 SCHEMA = "doc_id long, source string, text string, slot string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -13,7 +14,7 @@ TARGETS = "source string, target_share double, max_repeats int"
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=12))
 def test_schedule_is_fair(counts):
     q = sum(counts)
-    place = schedule(counts)
+    place = schedule([Fraction(c, q) for c in counts], q)
     assert sorted(s for p in place for s in p) == list(range(q))
     for c, p in zip(counts, place, strict=True):
         done = 0
@@ -23,8 +24,17 @@ def test_schedule_is_fair(counts):
 
 
 def test_slots():
-    assert slots_of([Fraction("0.5"), Fraction("0.3"), Fraction("0.2")]) == [5, 3, 2]
-    assert sum(slots_of([Fraction(1, 99_991), Fraction(1, 3), Fraction(1, 7)], 1000)) == 1000
+    assert slots_needed([Fraction("0.5"), Fraction("0.3"), Fraction("0.2")], [900, 540, 360]) == 10
+    odd = [Fraction(1, 99_991), Fraction(1, 3)]
+    odd.append(1 - sum(odd))
+    assert slots_needed(odd, [1, 3, 6]) == 99_991
+    assert slots_needed(odd, [0, 3, 6], 1000) == 10  # the whole mix is shorter than a period
+    with pytest.raises(ValueError):
+        slots_needed(odd, [1, 30_000, 60_000], 1000)
+    place = schedule(odd, 500)  # a part of a period, with exact shares
+    for w, p in zip(odd, place, strict=True):
+        for slot in range(500):
+            assert abs(w * (slot + 1) - sum(s <= slot for s in p)) < 1
 
 
 def test_mix(spark):

@@ -3,8 +3,8 @@
 The mix is a sequence of blocks of about equal size, one source each. Block k of a source with weight w may not come
 before slot floor(k / w) and must come by slot ceil((k + 1) / w); giving each slot to the released block with the
 earliest deadline meets all deadlines as the weights sum to one, so after any number of slots each source is
-less than one block off its share. Weights are fractions with a common denominator Q, and at every multiple of Q
-nothing is owed, so the schedule of Q slots is computed once (on the driver, Q is bounded) and repeats: block
+less than one block off its share. Weights are exact fractions with a common denominator Q, and at every multiple of Q
+nothing is owed, so the schedule of Q slots (or of the whole mix, if that has fewer) is computed once on the driver and repeats: block
 k of a source that has m of every Q slots lies in slot Q * (k div m) + place[k mod m]. Rows thus find their slot alone.
 
 A row's place within its source is a prefix sum of sizes in the order of a hash of its key: sums per (source, hash
@@ -27,7 +27,7 @@ from tickloom.functions.lineage import checkpointed
 from tickloom.llm.encoding import token_counts
 
 MOST_TARGETS = 10_000
-RANGES = 4096
+MOST_SLOTS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -53,41 +53,35 @@ def read_targets(table: DataFrame) -> list[Target]:
     return sorted(out.values(), key=lambda t: t.source)
 
 
-def slots_of(weights: Sequence[Fraction], most: int = 100_000) -> list[int]:
-    """Slots of each source in one period. Exact with the weights' common denominator if that is at most ``most``;
-    else of ``most`` slots, rounded by largest remainders, each source keeping at least one."""
-    total = sum(weights)
-    shares = [w / total for w in weights]
-    q = math.lcm(*(s.denominator for s in shares))
-    if q <= most:
-        return [int(s * q) for s in shares]
-    out = [max(1, math.floor(s * most)) for s in shares]
-    for i in sorted(range(len(shares)), key=lambda i: out[i] - shares[i] * most)[: max(0, most - sum(out))]:
-        out[i] += 1
-    return out
-
-
-def schedule(counts: Sequence[int]) -> list[list[int]]:
-    """Slots of the blocks of each source in one period of sum(counts) slots, by earliest deadline first."""
-    q = sum(counts)
-    place: list[list[int]] = [[] for _ in counts]
-    waiting = [(0, i) for i, c in enumerate(counts) if c]
-    heapq.heapify(waiting)
+def schedule(shares: Sequence[Fraction], slots: int) -> list[list[int]]:
+    """Slots of the blocks of each source among the first ``slots``, by earliest deadline first; the shares sum to one and are taken exactly."""
+    place: list[list[int]] = [[] for _ in shares]
+    waiting = [(0, i) for i in range(len(shares))]
     ready: list[tuple[int, int]] = []
-    for slot in range(q):
+    for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             i = heapq.heappop(waiting)[1]
-            k = len(place[i])
-            heapq.heappush(ready, (-(-(k + 1) * q // counts[i]), i))
+            w = shares[i]
+            heapq.heappush(ready, (-(-(len(place[i]) + 1) * w.denominator // w.numerator), i))
         deadline, i = heapq.heappop(ready)
         if slot >= deadline:
             raise RuntimeError("a deadline was missed")
         place[i].append(slot)
-        if len(place[i]) < counts[i]:
-            heapq.heappush(waiting, (len(place[i]) * q // counts[i], i))
+        w = shares[i]
+        heapq.heappush(waiting, (len(place[i]) * w.denominator // w.numerator, i))
     return place
 
 
+def slots_needed(shares: Sequence[Fraction], blocks: Sequence[int], most: int = MOST_SLOTS) -> int:
+    """Slots to schedule: one period (the shares' common denominator), after which the schedule repeats, or as many as hold each source's
+    blocks if these are fewer. Shares are never rounded: where both are over ``most`` it is an error, and larger blocks or coarser shares help."""
+    period = math.lcm(*(s.denominator for s in shares))
+    held = max(-(-n * s.denominator // s.numerator) for n, s in zip(blocks, shares, strict=True))
+    if min(period, held) > most:
+        raise ValueError(f"a period of {period} slots and a mix of {held} are both over {most}: take larger blocks or shares of a smaller common denominator")
+    return min(period, held)
+
+
 @dataclass(frozen=True)
 class Mix:
     """``rows``: slot, source, block, doc_id, repeat_no, n_tokens, position; ``report``: per target, see ``mixed``."""
@@ -129,14 +123,14 @@ def mixed(docs: DataFrame, targets: DataFrame, block_tokens: int = 1024, text: s
     live = [t for t in wanted if have.get(t.source)]
     total = sum((t.share for t in live), Fraction(0))
     size = min((Fraction(have[t.source] * t.max_repeats) / (t.share / total) for t in live), default=Fraction(0))
-    counts = slots_of([t.share for t in live]) if live else []
-    places = schedule(counts)
-    q = sum(counts)
+    shares = [t.share / total for t in live]
+    quotas = [math.ceil(size * s) for s in shares]
+    q = slots_needed(shares, [-(-n // block_tokens) for n in quotas]) if live else 0
     plan = spark.createDataFrame(
-        [(t.source, have[t.source], math.ceil(size * t.share / total), c, p) for t, c, p in zip(live, counts, places, strict=True)],
+        [(t.source, have[t.source], n, max(1, len(p)), p) for t, n, p in zip(live, quotas, schedule(shares, q), strict=True)],
         "p_source string, p_have long, p_quota long, p_count long, p_place array<int>",
     )
-    rows = _placed(sized).join(F.broadcast(plan), F.col("source") == F.col("p_source"))  # at most MOST_TARGETS rows, places of one period
+    rows = _placed(sized).join(F.broadcast(plan), F.col("source") == F.col("p_source"))  # at most MOST_TARGETS rows and MOST_SLOTS places
     rows = rows.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.expr("cast((p_quota - 1) div p_have as int)"))))
     rows = rows.withColumn("position", F.col("repeat_no") * F.col("p_have") + F.col("start")).where(F.col("position") < F.col("p_quota"))
     rows = rows.withColumn("block", F.expr(f"position div {int(block_tokens)}"))
