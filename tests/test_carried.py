@@ -29,15 +29,15 @@ def tables(spark, tmp_path):
 
 def test_days_begin_with_the_day_before(spark, tables):
     duck = connection_of_folders(tables)
-    got = {r.fill_id: r.position for r in trading.inventory_carried(spark, tables).collect()}
+    got = {r.fill_id: r.position for r in trading.inventory(spark, tables).collect()}
     assert [got[k] for k in ("g0", "g1", "g2")] == [5, 3, 0]
-    days = {r.day.day: (r.open_us, r.peak, r.last_position) for r in trading.time_in_inventory_carried(spark, tables).where("product = 'C'").collect()}
+    days = {r.day.day: (r.open_us, r.peak, r.last_position) for r in trading.time_in_inventory(spark, tables).where("product = 'C'").collect()}
     assert days == {25: (2 * 3600_000_000, 5, 5), 26: ((9 * 24 - 2) * 3600_000_000, 5, 3), 3: (0, 3, 0)}
-    costs = {r.key: (r.pos, r.cost, r.realised) for r in replay.position_cost_carried(spark, tables).collect()}
+    costs = {r.key: (r.pos, r.cost, r.realised) for r in replay.position_cost(spark, tables).collect()}
     assert costs["g1"] == (3, 10.0, round(8 - 2 * 14 * 0.0001, 6)) and costs["g2"] == (0, 10.0, round(15 - 3 * 15 * 0.0001, 6))
-    reserved = {r.row_id: r.reserved for r in trading.capacity_running_carried(spark, tables).collect()}
+    reserved = {r.row_id: r.reserved for r in trading.capacity_running(spark, tables).collect()}
     assert reserved == {"r1": 5, "r2": 2, "r3": 2, "r4": 0}
-    for plan, name in ((trading, "inventory_carried"), (trading, "time_in_inventory_carried"), (trading, "capacity_running_carried"), (replay, "position_cost_carried"), (audit, "running_residual_carried")):
+    for plan, name in ((trading, "inventory"), (trading, "time_in_inventory"), (trading, "capacity_running"), (replay, "position_cost"), (audit, "running_residual")):
         assert rows_of_spark(plan.QUERIES[name](spark, tables)) == rows_of_sql(duck, plan.SQL[name]), name
 
 

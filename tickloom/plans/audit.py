@@ -152,21 +152,10 @@ def payload_decode(spark, d):
     return table(spark, d, "events", "event_id", "props", "value").select("event_id", k.alias("k"), F.when(k.isNull(), "no_quantity").when(F.col("value") <= 0, "no_price").alias("issue"))
 
 
-@query("""WITH r AS (SELECT DISTINCT * FROM fills WHERE fill_ts IS NOT NULL), j AS (SELECT r.fill_id, r.fill_ts, i.pair_id, CASE WHEN i.leg = 'quoted' THEN position_delta ELSE 0 END AS q, CASE WHEN i.leg = 'hedge' THEN position_delta ELSE 0 END AS h FROM r JOIN instruments i USING (product))
- SELECT fill_id, CAST(sum(q) OVER w + sum(h) OVER w AS BIGINT) AS residual FROM j WINDOW w AS (PARTITION BY pair_id, CAST(fill_ts AS DATE) ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-def running_residual(spark, d):
-    """What both legs of a pair leave open after every fill of a day."""
-    i = table(spark, d, "instruments", "product", "pair_id", "leg")
-    rows = table(spark, d, "fills").distinct().where("fill_ts is not null").join(F.broadcast(i), "product")  # 60 fixed rows
-    w = Window.partitionBy("pair_id", F.to_date("fill_ts")).orderBy("fill_ts", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    one = F.lit(1)
-    return rows.select("fill_id", stress.residual_risk(*[F.sum(F.when(F.col("leg") == leg, F.col("position_delta")).otherwise(0)).over(w) for leg in ("quoted", "hedge")], one, one).alias("residual"))
-
-
 @query("""WITH r AS (SELECT DISTINCT * FROM fills WHERE fill_ts IS NOT NULL), j AS (SELECT r.fill_id, r.fill_ts, i.pair_id, CASE WHEN i.leg = 'quoted' THEN position_delta ELSE 0 END AS q, CASE WHEN i.leg = 'hedge' THEN position_delta ELSE 0 END AS h FROM r JOIN instruments i USING (product))
  SELECT fill_id, CAST(sum(q) OVER w + sum(h) OVER w AS BIGINT) AS residual FROM j WINDOW w AS (PARTITION BY pair_id ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-def running_residual_carried(spark, d):
-    """``running_residual`` over a pair's whole history."""
+def running_residual(spark, d):
+    """A pair's residual risk after every fill of its whole history."""
     i = table(spark, d, "instruments", "product", "pair_id", "leg")
     rows = table(spark, d, "fills").distinct().where("fill_ts is not null").join(F.broadcast(i), "product")  # 60 fixed rows
     legs = {leg: F.when(F.col("leg") == leg, F.col("position_delta")).otherwise(0) for leg in ("quoted", "hedge")}

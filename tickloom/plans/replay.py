@@ -33,19 +33,6 @@ def _fills(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("product", F.to_date("fill_ts").alias("day"), F.col("fill_ts").alias("at"), F.col("fill_id").alias("key"), "px", F.col("position_delta").alias("qty"))
 
 
-@query("""WITH RECURSIVE f AS (SELECT product, CAST(fill_ts AS DATE) AS day, fill_id, px, CAST(position_delta AS BIGINT) AS q, row_number() OVER (PARTITION BY product, CAST(fill_ts AS DATE) ORDER BY fill_ts, fill_id) AS i
-  FROM (SELECT DISTINCT fill_id, product, fill_ts, px, position_delta FROM fills) WHERE fill_ts IS NOT NULL AND px IS NOT NULL AND product IS NOT NULL),
- r AS (SELECT product, day, i, fill_id, q AS pos, px AS cost, 0.0::DOUBLE AS realised FROM f WHERE i = 1
-  UNION ALL SELECT f.product, f.day, f.i, f.fill_id, r.pos + f.q,
-   CASE WHEN r.pos = 0 THEN f.px WHEN r.pos * f.q > 0 THEN (r.pos * r.cost + f.px * f.q) / (r.pos + f.q) WHEN abs(f.q) > abs(r.pos) THEN f.px ELSE r.cost END,
-   CASE WHEN r.pos * f.q < 0 THEN (CASE WHEN r.pos > 0 THEN f.px - r.cost ELSE r.cost - f.px END) * least(abs(r.pos), abs(f.q)) - least(abs(r.pos), abs(f.q)) * f.px * 0.0001::DOUBLE ELSE 0.0 END
-  FROM r JOIN f ON f.product = r.product AND f.day = r.day AND f.i = r.i + 1)
- SELECT fill_id AS key, pos, cost, realised FROM r""")
-def position_cost(spark, d):
-    """Position, mean cost and realised PnL after every fill of a product's day."""
-    return kernel.position_costs(_fills(spark, d), ("product", "day"), ("at", "key"), fee=0.0001)
-
-
 @query("""WITH RECURSIVE f AS (SELECT product, fill_id, px, CAST(position_delta AS BIGINT) AS q, row_number() OVER (PARTITION BY product ORDER BY fill_ts, fill_id) AS i
   FROM (SELECT DISTINCT fill_id, product, fill_ts, px, position_delta FROM fills) WHERE fill_ts IS NOT NULL AND px IS NOT NULL AND product IS NOT NULL AND position_delta IS NOT NULL),
  r AS (SELECT product, i, fill_id, q AS pos, px AS cost, 0.0::DOUBLE AS realised FROM f WHERE i = 1
@@ -54,8 +41,8 @@ def position_cost(spark, d):
    CASE WHEN r.pos * f.q < 0 THEN (CASE WHEN r.pos > 0 THEN f.px - r.cost ELSE r.cost - f.px END) * least(abs(r.pos), abs(f.q)) - least(abs(r.pos), abs(f.q)) * f.px * 0.0001::DOUBLE ELSE 0.0 END
   FROM r JOIN f ON f.product = r.product AND f.i = r.i + 1)
  SELECT fill_id AS key, pos, round(cost, 6) AS cost, round(realised, 6) AS realised FROM r""")
-def position_cost_carried(spark, d):
-    """``position_cost`` over a product's whole history: a day begins with the position and cost of the day before."""
+def position_cost(spark, d):
+    """Position, mean cost and realised PnL after every fill: a day begins with the position and cost of the day before."""
     out = kernel.carried_costs(_fills(spark, d), "product", ("at", "key"), fee=0.0001)
     return out.select("key", "pos", F.round("cost", 6).alias("cost"), F.round("realised", 6).alias("realised"))
 

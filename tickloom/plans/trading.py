@@ -246,20 +246,10 @@ def minmax_downsample(spark, d):
     return signals.downsampled(_series(spark, d), "x", 50).select("row_id", "x")
 
 
-@query("""WITH r AS (SELECT DISTINCT order_id, row_id, occurred_at, requested_qty, record_type FROM order_records WHERE order_id IS NOT NULL), e AS (SELECT product, order_id, occurred_at, row_id, CASE WHEN record_type = 'order_declared' THEN requested_qty ELSE -coalesce(filled_qty, 0) END AS amount FROM (SELECT DISTINCT * FROM order_records) WHERE occurred_at IS NOT NULL)
- SELECT row_id, CAST(sum(amount) OVER (PARTITION BY product, CAST(occurred_at AS DATE) ORDER BY occurred_at, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS reserved FROM e""")
-def capacity_running(spark, d):
-    """Reserved quantity per product and day: declared orders reserve, fills release."""
-    rows = table(spark, d, "order_records").distinct().where("occurred_at is not null")
-    amount = F.when(F.col("record_type") == "order_declared", F.col("requested_qty")).otherwise(-F.coalesce(F.col("filled_qty"), F.lit(0)))
-    w = Window.partitionBy("product", F.to_date("occurred_at")).orderBy("occurred_at", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("amount", amount).select("row_id", F.sum("amount").over(w).alias("reserved"))
-
-
 @query("""WITH e AS (SELECT product, occurred_at, row_id, CASE WHEN record_type = 'order_declared' THEN requested_qty ELSE -coalesce(filled_qty, 0) END AS amount FROM (SELECT DISTINCT * FROM order_records) WHERE occurred_at IS NOT NULL)
  SELECT row_id, CAST(sum(amount) OVER (PARTITION BY product ORDER BY occurred_at, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS reserved FROM e""")
-def capacity_running_carried(spark, d):
-    """``capacity_running`` over a product's whole history."""
+def capacity_running(spark, d):
+    """Reserved quantity per product over its whole history: declared orders reserve, fills release."""
     rows = table(spark, d, "order_records").distinct().where("occurred_at is not null")
     amount = F.when(F.col("record_type") == "order_declared", F.col("requested_qty")).otherwise(-F.coalesce(F.col("filled_qty"), F.lit(0)))
     return signals.carried_sums(rows, "product", "occurred_at", ("occurred_at", "row_id"), {"reserved": amount}).select("row_id", "reserved")
@@ -285,49 +275,25 @@ def fill_progression(spark, d):
 
 
 _INV = """WITH f AS (SELECT DISTINCT * FROM fills), g AS (SELECT * FROM f WHERE fill_ts IS NOT NULL AND product IS NOT NULL),
- inv AS (SELECT fill_id, product, fill_ts, CAST(sum(position_delta) OVER w AS BIGINT) AS position, lead(fill_ts) OVER (PARTITION BY product, CAST(fill_ts AS DATE) ORDER BY fill_ts, fill_id) AS nxt FROM g WINDOW w AS (PARTITION BY product, CAST(fill_ts AS DATE) ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
-
-
-def _by_product():
-    return Window.partitionBy("product", "day").orderBy("fill_ts", "fill_id")
+ inv AS (SELECT fill_id, product, fill_ts, position_delta, CAST(sum(position_delta) OVER w AS BIGINT) AS position, lead(fill_ts) OVER (PARTITION BY product ORDER BY fill_ts, fill_id) AS nxt FROM g WINDOW w AS (PARTITION BY product ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 def _inventory(spark, d):
-    rows = table(spark, d, "fills").distinct().where("fill_ts is not null and product is not null").withColumn("day", F.to_date("fill_ts"))
-    return rows.withColumn("position", F.sum("position_delta").over(_by_product().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = table(spark, d, "fills").distinct().where("fill_ts is not null and product is not null")
+    return signals.carried_sums(rows, "product", "fill_ts", ("fill_ts", "fill_id"), {"position": F.col("position_delta")})
 
 
 @query(_INV + " SELECT fill_id, product, position FROM inv")
 def inventory(spark, d):
+    """The position after every fill: a day begins with the position of the day before."""
     return _inventory(spark, d).select("fill_id", "product", "position")
 
 
-@query(_INV + " SELECT product, CAST(fill_ts AS DATE) AS day, CAST(sum(CASE WHEN position <> 0 THEN coalesce(epoch_us(nxt) - epoch_us(fill_ts), 0) ELSE 0 END) AS BIGINT) AS open_us, max(abs(position)) AS peak, arg_max(position, (fill_ts, fill_id)) AS last_position FROM inv GROUP BY 1, 2")
+@query(_INV + " SELECT product, CAST(fill_ts AS DATE) AS day, CAST(sum(CASE WHEN position <> 0 THEN coalesce(epoch_us(nxt) - epoch_us(fill_ts), 0) ELSE 0 END) AS BIGINT) AS open_us, max(greatest(abs(position), abs(position - coalesce(position_delta, 0)))) AS peak, arg_max(position, (fill_ts, fill_id)) AS last_position FROM inv GROUP BY 1, 2")
 def time_in_inventory(spark, d):
-    rows = _inventory(spark, d).withColumn("open_us", signals.open_time("position", "fill_ts", _by_product()))
-    return rows.groupBy("product", "day").agg(F.sum("open_us").alias("open_us"), F.max(F.abs("position")).alias("peak"), F.max_by("position", F.struct("fill_ts", "fill_id")).alias("last_position"))
-
-
-_CINV = """WITH f AS (SELECT DISTINCT * FROM fills), g AS (SELECT * FROM f WHERE fill_ts IS NOT NULL AND product IS NOT NULL),
- inv AS (SELECT fill_id, product, fill_ts, position_delta, CAST(sum(position_delta) OVER w AS BIGINT) AS position, lead(fill_ts) OVER (PARTITION BY product ORDER BY fill_ts, fill_id) AS nxt FROM g WINDOW w AS (PARTITION BY product ORDER BY fill_ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
-
-
-def _inventory_carried(spark, d):
-    rows = table(spark, d, "fills").distinct().where("fill_ts is not null and product is not null")
-    return signals.carried_sums(rows, "product", "fill_ts", ("fill_ts", "fill_id"), {"position": F.col("position_delta")})
-
-
-@query(_CINV + " SELECT fill_id, product, position FROM inv")
-def inventory_carried(spark, d):
-    """``inventory`` over a product's whole history: a day begins with the position of the day before."""
-    return _inventory_carried(spark, d).select("fill_id", "product", "position")
-
-
-@query(_CINV + " SELECT product, CAST(fill_ts AS DATE) AS day, CAST(sum(CASE WHEN position <> 0 THEN coalesce(epoch_us(nxt) - epoch_us(fill_ts), 0) ELSE 0 END) AS BIGINT) AS open_us, max(greatest(abs(position), abs(position - coalesce(position_delta, 0)))) AS peak, arg_max(position, (fill_ts, fill_id)) AS last_position FROM inv GROUP BY 1, 2")
-def time_in_inventory_carried(spark, d):
-    """``time_in_inventory`` with positions carried: the peak counts what the day begins with, and the time from a day's last fill to the
+    """Time with a position, peak and last position per product and day: the peak counts what the day begins with, and the time from a day's last fill to the
     product's next one, on whatever day, is the earlier day's. After a product's last fill no time is counted."""
-    rows = signals.carried_next(_inventory_carried(spark, d), "product", "fill_ts", ("fill_ts", "fill_id"), "nxt")
+    rows = signals.carried_next(_inventory(spark, d), "product", "fill_ts", ("fill_ts", "fill_id"), "nxt")
     open_us = F.when(F.col("position") != 0, F.coalesce(F.timestamp_diff("MICROSECOND", F.col("fill_ts"), F.col("nxt")), F.lit(0))).otherwise(0)
     peak = F.greatest(F.abs("position"), F.abs(F.col("position") - F.coalesce("position_delta", F.lit(0))))
     rows = rows.withColumns({"open_us": open_us, "peak": peak})
