@@ -46,3 +46,22 @@ def end_of_day(t: Column, eod: str = "15:00:00", early: dict[str, str] | None =
 def seconds_between(start: Column, end: Column) -> Column:
     """Exact seconds, as a double."""
     return F.timestamp_diff("MICROSECOND", start, end) / 1e6
+
+
+def calendar_window(t: Column, windows: list[tuple[int, str, str]], holidays: tuple[str, ...] = (), early: dict[str, str] | None = None, eod: str = "15:00:00") -> Column:
+    """The first window (order, opens_at, closes_at) that holds the time (its close is outside); null on a holiday and after the close of
+    the time's trading day."""
+    at, win = second_of_day(t), F.lit(None).cast("int")
+    for order, opens, closes in sorted(windows, reverse=True):
+        o, c = (sum(int(x) * k for x, k in zip(w.split(":"), (3600, 60, 1), strict=True)) for w in (opens, closes))
+        win = F.when((at >= o) & (at < c), F.lit(order)).otherwise(win)
+    day = trading_day(t)
+    off = F.lit(False)
+    for h in holidays:
+        off = off | (day == F.lit(h).cast("date"))
+    return F.when(~off & (t <= end_of_day(t, eod, early)), win)
+
+
+def window_end(day: Column, opens: Column, closes: Column, rollover: str = "18:00:00") -> Column:
+    """The instant at which a window of a trading day ends: on the date before for windows that open after the rollover."""
+    return F.concat_ws(" ", F.when(opens >= rollover, F.date_sub(day, 1)).otherwise(day).cast("string"), closes).cast("timestamp_ntz")
