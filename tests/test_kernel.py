@@ -9,7 +9,7 @@ from tickloom.kernel.depth import DepthBook, take_at_touch
 from tickloom.kernel.lifecycle import Lifecycle
 from tickloom.kernel.pair import Book, PairReplay, Terms
 from tickloom.kernel.passive import Maker, PassiveMatcher
-from tickloom.kernel.policies import Hysteresis
+from tickloom.kernel.policies import Hysteresis, TakeSignal
 from tickloom.kernel.positions import Position
 from tickloom.kernel.queue import Fill, QueueMarket, Tick
 from tickloom.kernel.quoting import flatten, hedge, requote, unwind
@@ -205,3 +205,18 @@ def test_groups(spark):
     zs = [0, 3, 3, 0, 0, -3, -3]
     rows = spark.createDataFrame([("A", t.date(), t + dt.timedelta(seconds=i), i, 100 + i, float(z)) for i, z in enumerate(zs)], "contract string, day date, exchtime timestamp_ntz, row_id long, x long, z double")
     assert sorted(map(tuple, hysteresis_trades(rows, 2, 0.5).collect())) == [("A", 2, 4, -1, -2)]
+
+
+def test_a_policy_of_ones_own(spark):
+    """Any callable can be replayed: one that takes the touch on a signal, and one that only watches."""
+    T0 = dt.datetime(2024, 1, 25, 9)
+    rows = [("A", T0.date(), T0 + dt.timedelta(seconds=i), i, [(100, 10)], [(101, 10)], [], s) for i, s in enumerate([None, -3.0, -3.0, 0.1, 0.0])]
+    schema = "contract string, day date, exchtime timestamp_ntz, row_id long, bids array<struct<ticks:long,quantity:long>>, asks array<struct<ticks:long,quantity:long>>, traded array<struct<ticks:long,quantity:double>>, signal double"
+    df = spark.createDataFrame(rows, schema)
+    out = replay(df, [{"combo": 0, "enter": 2.0, "leave": 0.5, "qty": 3}], policy=TakeSignal)
+    assert [(r.row_id, r.side, r.px, r.qty, r["mode"]) for r in out.collect()] == [(1, 1, 101.0, 3, "sweep"), (3, -1, 100.0, 3, "sweep")]
+
+    def watcher(every):
+        return lambda n, tick, market, position, tradable: market.place(1, 100, every) if n == 0 else None
+
+    assert replay(df, [{"combo": 7, "every": 2}], policy=watcher).count() == 0

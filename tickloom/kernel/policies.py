@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from tickloom.kernel.queue import QueueMarket, Tick
 
 
+#: What a replay calls after each snapshot: its number, the snapshot, the market, the position, and whether the book can be traded on.
+Policy = Callable[[int, Tick, QueueMarket, int, bool], None]
+
+
 @dataclass
 class JoinTouch:
     """Every ``every`` snapshots an order of ``qty`` at the best bid and ask, ``offset`` ticks back; orders older than ``patience``
@@ -27,6 +32,29 @@ class JoinTouch:
         market.place(-1, tick.asks[0][0] + self.offset, self.qty)
 
 
+@dataclass
+class TakeSignal:
+    """Holds ``qty`` against a signal while it is outside its bands (see ``Hysteresis``): what the position lacks is taken from the touch at
+    once, up to the displayed depth's share, and nothing is left to rest."""
+
+    enter: float = 2.0
+    leave: float = 0.5
+    qty: int = 2
+    limit: int = 4000
+
+    def __post_init__(self) -> None:
+        self.bands = Hysteresis(self.enter, self.leave)
+
+    def __call__(self, n: int, tick: Tick, market: QueueMarket, position: int, tradable: bool = True) -> None:
+        lacks = self.bands.next(tick.signal) * self.qty - position
+        side = 1 if lacks > 0 else -1
+        if not lacks or not tradable or not market.levels[-side] or market.messages >= self.limit:
+            return
+        order = market.place(side, market.levels[-side][0][0], abs(lacks), aggressive=True)
+        market.execute(order)
+        market.cancel(side, lambda o: o is order)
+
+
 @dataclass
 class Hysteresis:
     """Target of a signal: in above ``enter``, out inside ``leave``; the trade is made on the row after the signal, and

@@ -6,7 +6,7 @@ side by side: the parameters of a combination are a column, so a grid is more gr
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.kernel.depth import DepthBook
 from tickloom.kernel.pair import Book, PairReplay, Terms
-from tickloom.kernel.policies import Hysteresis, JoinTouch
+from tickloom.kernel.policies import Hysteresis, JoinTouch, Policy
 from tickloom.kernel.positions import Position
 from tickloom.kernel.queue import QueueMarket, Tick
 from tickloom.operators import signals
@@ -130,30 +130,34 @@ def execute_orders(orders: DataFrame, by: tuple[str, ...], participation: float
 FILLS = "combo int, contract string, day date, order_id long, row_id long, side int, px double, qty long, mode string"
 
 
-def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> DataFrame:
-    """Fills of the touch-joining policy for every combination (combo, every, qty, offset, patience, limit) on every contract and day.
+def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16, policy: Callable[..., Policy] = JoinTouch) -> DataFrame:
+    """Fills of a policy for every combination of its parameters (``combo``, the others by name) on every contract and day.
+
+    ``policy`` makes, from the parameters, a callable of (number of the snapshot, snapshot, market, position, tradable) that places and cancels
+    orders in the market; the snapshot has the row's ``signal``, if there is such a column. Each contract and day has a policy of its own.
 
     ``ticks``: contract, day, exchtime, row_id, bids and asks (arrays of (ticks, quantity)) and traded (the interval's volume by tick);
     ``tradable``, if there: whether the policy may place orders on the snapshot. Others still age and decay what rests.
     A task reads its day once and plays up to ``per_task`` combinations on it; more of them go to further tasks.
     """
     parts = [list(combos[i : i + per_task]) for i in range(0, len(combos), per_task)]
-    names = ("every", "qty", "offset", "patience", "limit")
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("exchtime", "ascending"), ("row_id", "ascending")])
         ids = table.column("row_id").to_pylist()
         usable = table.column("tradable").to_pylist()
-        steps = [Tick(*x) for x in zip(_pairs(table, "bids"), _pairs(table, "asks"), _pairs(table, "traded"), strict=True)]
+        steps = [Tick(*x) for x in zip(_pairs(table, "bids"), _pairs(table, "asks"), _pairs(table, "traded"), table.column("signal").to_pylist(), strict=True)]
         out = []
         for c in parts[group[0].as_py()]:
-            policy, market, position = JoinTouch(*[c[n] for n in names]), QueueMarket(), 0
+            decide, market, position = policy(**{k: v for k, v in c.items() if k != "combo"}), QueueMarket(), 0
             for n, (row, tick, may) in enumerate(zip(ids, steps, usable, strict=True)):
                 market.step(tick)
-                for f in market.match():
-                    position += f.side * f.qty
-                    out.append((c["combo"], f.order_id, row, f.side, float(f.px), f.qty, f.mode))
-                policy(n, tick, market, position, may)
+                fills = market.match()
+                position += sum(f.side * f.qty for f in fills)
+                decide(n, tick, market, position, may)
+                taken = market.swept()
+                position += sum(f.side * f.qty for f in taken)
+                out += [(c["combo"], f.order_id, row, f.side, float(f.px), f.qty, f.mode) for f in fills + taken]
         cols = list(zip(*out, strict=True)) or [[]] * 7
         m = len(out)
         return pa.table({
@@ -161,9 +165,9 @@ def replay(ticks: DataFrame, combos: Sequence[dict], per_task: int = 16) -> Data
             "row_id": pa.array(cols[2], pa.int64()), "side": pa.array(cols[3], pa.int32()), "px": pa.array(cols[4], pa.float64()), "qty": pa.array(cols[5], pa.int64()), "mode": pa.array(cols[6], pa.string()),
         })
 
-    if "tradable" not in ticks.columns:
-        ticks = ticks.withColumn("tradable", F.lit(True))
-    picked = ticks.select(F.explode(F.array(*[F.lit(i) for i in range(max(1, len(parts)))])).alias("part"), "contract", "day", "exchtime", "row_id", "bids", "asks", "traded", "tradable")
+    given = {"tradable": F.lit(True), "signal": F.lit(None).cast("double")}
+    ticks = ticks.withColumns({c: v for c, v in given.items() if c not in ticks.columns})
+    picked = ticks.select(F.explode(F.array(*[F.lit(i) for i in range(max(1, len(parts)))])).alias("part"), "contract", "day", "exchtime", "row_id", "bids", "asks", "traded", "tradable", "signal")
     return picked.where(F.lit(bool(parts))).groupBy("part", "contract", "day").applyInArrow(run, FILLS)
 
 

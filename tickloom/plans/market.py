@@ -228,7 +228,11 @@ def validation_issues(spark, d):
     return rows.select("row_id", validation.first_failing(validation.row_checks(F.col("product").isNotNull())).alias("code")).where("code is not null")
 
 
-@query()
+@query(_MD.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT contract, day, row_id, CAST(totalvol AS DOUBLE) AS v, totalvalue AS x, row_number() OVER (PARTITION BY contract, day ORDER BY exchtime, row_id) AS n FROM kept),
+ r AS (SELECT contract, day, n, row_id, coalesce(v >= 0 AND x >= 0, false) AS accepted, CASE WHEN v >= 0 AND x >= 0 THEN v ELSE '-inf'::DOUBLE END AS bv, CASE WHEN v >= 0 AND x >= 0 THEN x ELSE '-inf'::DOUBLE END AS bx FROM s WHERE n = 1
+  UNION ALL SELECT s.contract, s.day, s.n, s.row_id, coalesce(v >= greatest(0, bv) AND x >= greatest(0, bx), false), CASE WHEN v >= greatest(0, bv) AND x >= greatest(0, bx) THEN v ELSE bv END, CASE WHEN v >= greatest(0, bv) AND x >= greatest(0, bx) THEN x ELSE bx END
+  FROM r JOIN s ON s.contract = r.contract AND s.day = r.day AND s.n = r.n + 1)
+ SELECT row_id, accepted FROM r""")
 def monotone_totals(spark, d):
     return validation.monotone_totals(cleaning.keep_last(md(spark, d)))
 

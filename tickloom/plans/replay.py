@@ -9,8 +9,9 @@ from tickloom.functions import ticks
 from tickloom.kernel import lifecycle
 from tickloom.kernel import spark as kernel
 from tickloom.kernel.pair import Terms
+from tickloom.kernel.policies import TakeSignal
 from tickloom.operators import alignment, cleaning, integrity, reports, signals
-from tickloom.plans import config, market
+from tickloom.plans import config, market, trading
 from tickloom.sources.tables import table
 from tickloom.streaming import streams
 
@@ -84,13 +85,50 @@ def grid_ranking(spark, d):
 
 
 @query()
+def policy_replay(spark, d):
+    """Fills of a policy that takes the touch on a signal (the rolling deviation of the last price), over two settings of its bands."""
+    z = cleaning.keep_last(market.md(spark, d)).select("row_id", "contract", "day", "exchtime", ticks.in_ticks(F.col("lastpx"), F.col("tick")).alias("x")).where(F.abs("x") < 100_000_000)
+    z = z.withColumn("signal", signals.rolling_z("x", 20)).select(F.col("row_id").alias("z_row"), "signal")
+    rows = _ticks(spark, d)
+    return kernel.replay(rows.join(z, F.col("row_id") == F.col("z_row"), "left").drop("z_row"), config.combinations({"enter": [2.0, 3.0], "leave": 0.5, "qty": 2, "limit": 4000}), policy=TakeSignal)
+
+
+_TRADES = trading._RZ.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (SELECT row_id, contract, day, x, z, row_number() OVER ({trading._W}) AS n, count(*) OVER (PARTITION BY contract, day) AS m FROM z),
+ r AS (SELECT contract, day, n, CASE WHEN abs(z) > 2 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END AS target, 0 AS held, row_id AS entry_row, x AS entry_x, false AS closes, row_id AS exit_row, 0 AS side, CAST(0 AS BIGINT) AS pnl, row_id AS was_row FROM q WHERE n = 1
+  UNION ALL SELECT contract, day, n, target, CASE WHEN closes OR was = 0 THEN aim ELSE was END, CASE WHEN (closes OR was = 0) AND aim <> 0 THEN row_id ELSE old_row END, CASE WHEN (closes OR was = 0) AND aim <> 0 THEN x ELSE old_x END, closes, row_id, was, CAST((x - old_x) * was AS BIGINT), old_row
+  FROM (SELECT q.contract, q.day, q.n, q.row_id, q.x, r.held AS was, r.entry_row AS old_row, r.entry_x AS old_x, CASE WHEN q.n = q.m THEN 0 ELSE r.target END AS aim, r.held <> 0 AND CASE WHEN q.n = q.m THEN 0 ELSE r.target END <> r.held AS closes,
+    CASE WHEN q.z IS NULL THEN r.target WHEN r.target = 0 AND abs(q.z) > 2 THEN CASE WHEN q.z > 0 THEN -1 ELSE 1 END WHEN r.target <> 0 AND abs(q.z) <= 0.5 THEN 0 ELSE r.target END AS target
+   FROM r JOIN q ON q.contract = r.contract AND q.day = r.day AND q.n = r.n + 1))
+ SELECT contract, was_row AS entry_row, exit_row, side, pnl AS pnl_ticks FROM r WHERE closes"""
+
+
+@query(_TRADES)
 def signal_trades(spark, d):
     """Round trips of the rolling deviation with an entry and an exit band."""
     rows = cleaning.keep_last(market.md(spark, d)).select("row_id", "contract", "day", "exchtime", ticks.in_ticks(F.col("lastpx"), F.col("tick")).alias("x")).where(F.abs("x") < 100_000_000)
     return kernel.hysteresis_trades(rows.withColumn("z", signals.rolling_z("x", 20)), 2.0, 0.5)
 
 
-@query()
+_LV = lambda side: "list_filter([" + ", ".join(f"{{'t': {market._IT(f'{side}px{i}')}, 'q': CAST({side}vol{i} AS BIGINT)}}" for i in range(5)) + "], lambda x: x.q > 0 AND x.t IS NOT NULL)"
+_EXEC = market._MD.replace("WITH ", "WITH RECURSIVE ", 1) + f""", books AS (SELECT contract, exchtime, row_id AS book, {_LV('bid')} AS bids, {_LV('ask')} AS asks FROM kept),
+ o AS (SELECT DISTINCT r.row_id AS order_key, r.product AS contract, r.occurred_at AS ts, r.side, r.requested_qty AS qty, {market._IT('r.limit_price').replace('tick', 'i.tick')} AS lim FROM order_records r JOIN instruments i USING (product)
+  WHERE r.record_type = 'order_declared' AND r.occurred_at IS NOT NULL AND r.limit_price IS NOT NULL AND r.requested_qty IS NOT NULL),
+ m AS (SELECT o.*, b.book, b.bids, b.asks, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS sg, CASE WHEN side = 'buy' THEN b.asks ELSE b.bids END AS lv FROM o ASOF LEFT JOIN books b ON o.contract = b.contract AND o.ts >= b.exchtime),
+ j AS (SELECT *, CASE WHEN len(list_filter(range(1, len(bids)), lambda i: bids[i].t <= bids[i + 1].t)) > 0 THEN 'invalid_bid_order' WHEN len(list_filter(range(1, len(asks)), lambda i: asks[i].t >= asks[i + 1].t)) > 0 THEN 'invalid_ask_order'
+  WHEN bids[1].t >= asks[1].t THEN 'crossed_book' END AS bad FROM m),
+ k AS (SELECT *, CASE WHEN book IS NULL THEN 'stale' WHEN bad IS NOT NULL THEN 'failed' WHEN len(lv) = 0 THEN 'no_liquidity' WHEN (lim - lv[1].t) * sg < 0 THEN 'rejected' END AS early FROM j),
+ a AS (SELECT order_key, contract, book, side, sg, qty, lim, CAST(ts AS DATE) AS day, list_transform(lv, lambda x: x.t) AS px, list_transform(lv, lambda x: x.q) AS size, row_number() OVER (PARTITION BY contract, CAST(ts AS DATE), book, side ORDER BY ts, order_key) AS n FROM k WHERE early IS NULL),
+ can AS (SELECT *, size AS left_over, list_transform(range(1, len(px) + 1), lambda i: CASE WHEN (lim - px[i]) * sg >= 0 THEN CAST(floor(size[i] * 0.5::DOUBLE) AS BIGINT) ELSE 0 END) AS can FROM a WHERE n = 1
+  UNION ALL SELECT a.*, list_transform(range(1, len(a.px) + 1), lambda i: c.left_over[i] - least(c.can[i], greatest(0, c.qty - coalesce(list_sum(c.can[1:i - 1]), 0)))),
+   list_transform(range(1, len(a.px) + 1), lambda i: CASE WHEN (a.lim - a.px[i]) * a.sg >= 0 THEN CAST(floor((c.left_over[i] - least(c.can[i], greatest(0, c.qty - coalesce(list_sum(c.can[1:i - 1]), 0)))) * 0.5::DOUBLE) AS BIGINT) ELSE 0 END)
+  FROM can c JOIN a ON a.contract = c.contract AND a.day = c.day AND a.book = c.book AND a.side = c.side AND a.n = c.n + 1),
+ t AS (SELECT order_key, qty, px, list_transform(range(1, len(px) + 1), lambda i: least(can[i], greatest(0, qty - coalesce(list_sum(can[1:i - 1]), 0)))) AS take FROM can)
+SELECT order_key, CASE WHEN list_sum(take) = 0 THEN 'no_liquidity' WHEN list_sum(take) < qty THEN 'partial' ELSE 'filled' END AS status, CASE WHEN list_sum(take) = 0 THEN 'no_executable_depth' END AS reason, CAST(list_sum(take) AS BIGINT) AS filled,
+ len(list_filter(take, lambda x: x > 0)) AS n_levels, CAST(list_sum(list_transform(range(1, len(px) + 1), lambda i: px[i] * take[i])) AS BIGINT) AS notional_ticks, px[1] AS touch FROM t
+UNION ALL SELECT order_key, early, CASE early WHEN 'stale' THEN 'missing_book' WHEN 'failed' THEN bad WHEN 'no_liquidity' THEN 'empty_book' ELSE 'limit_not_marketable' END, 0, 0, 0, CASE WHEN early = 'rejected' THEN lv[1].t END FROM k WHERE early IS NOT NULL"""
+
+
+@query(_EXEC)
 def depth_execution(spark, d):
     """Declared orders against the latest book of their product, orders on one snapshot sharing its depth."""
     orders = table(spark, d, "order_records").where("record_type = 'order_declared' and occurred_at is not null and limit_price is not null and requested_qty is not null")
