@@ -101,14 +101,15 @@ def book_changes(df: DataFrame, order: tuple[str, ...] = BY_TIME) -> DataFrame:
     now = df.select("contract", "day", "row_id", *order[:1], "bid", "ask", F.lag("bid").over(w).alias("bid_was"), F.lag("ask").over(w).alias("ask_was"), F.row_number().over(w).alias("n")).where("n > 1")
     none = F.lit(0).cast("long")
 
-    def pieces_of(column: str, side: str, current: bool) -> Column:
-        def piece(x: Column) -> Column:
-            was, is_now = (none, x["quantity"]) if current else (x["quantity"], none)
-            return F.struct(F.lit(side).alias("side"), x["ticks"].alias("ticks"), was.alias("was"), is_now.alias("now"))
-
-        return F.transform(F.coalesce(F.col(column), F.filter(F.col(side), lambda x: F.lit(False))), piece)
-
-    pieces = F.concat(pieces_of("bid", "bid", True), pieces_of("bid_was", "bid", False), pieces_of("ask", "ask", True), pieces_of("ask_was", "ask", False))
-    long = now.select("row_id", F.explode(pieces).alias("p")).select("row_id", "p.*")
-    out = long.groupBy("row_id", "side", "ticks").agg((F.sum("now") - F.sum("was")).alias("qty_delta"), F.sum("was").alias("was"), F.sum("now").alias("is_now")).where("qty_delta <> 0")
-    return out.select("row_id", "side", "ticks", F.when(F.col("was") == 0, "add").when(F.col("is_now") == 0, "cancel").otherwise("modify").alias("action"), "qty_delta")
+    def changed(side: str) -> Column:
+        # Within the row: two books of five levels; a shuffle of exploded levels would cost more than comparing them.
+        book = F.col(side)
+        before = F.coalesce(F.col(f"{side}_was"), F.filter(book, lambda x: F.lit(False)))
+        total = lambda levels, t: F.aggregate(levels, none, lambda n, x: n + F.when(x["ticks"] == t, x["quantity"]).otherwise(none))
+        every = F.array_distinct(F.concat(F.transform(book, lambda x: x["ticks"]), F.transform(before, lambda x: x["ticks"])))
+        found = F.transform(every, lambda t: F.struct(F.lit(side).alias("side"), t.alias("ticks"), total(before, t).alias("was"), total(book, t).alias("now")))
+        return F.filter(found, lambda x: x["was"] != x["now"])
+
+    out = now.select("row_id", F.inline(F.concat(changed("bid"), changed("ask"))))
+    action = F.when(F.col("was") == 0, "add").when(F.col("now") == 0, "cancel").otherwise("modify")
+    return out.select("row_id", "side", "ticks", action.alias("action"), (F.col("now") - F.col("was")).alias("qty_delta"))

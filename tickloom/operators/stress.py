@@ -16,7 +16,7 @@ def scenarios(spark, rows: list[tuple[str, float, float, float, int]]) -> DataFr
 def stressed_models(models: DataFrame, table: DataFrame) -> DataFrame:
     """Every execution model (model_id, participation) under every scenario: both tables are small dimensions."""
     return models.crossJoin(F.broadcast(table)).select(
-        F.concat_ws("+", "model_id", "scenario").alias("model_id"), "scenario", (F.col("participation") * F.col("participation_factor")).alias("participation"), "fee_factor", "delay_ms",
+        F.concat_ws("+", "model_id", "scenario").alias("model_id"), "scenario", (F.col("participation") * F.col("participation_factor")).alias("participation"), "fee_factor", "mid_shift_ticks", "delay_ms",
     )
 
 

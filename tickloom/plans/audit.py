@@ -116,9 +116,9 @@ def invariants(spark, d):
     ])
 
 
-@query("SELECT product || '+' || s AS model_id, s AS scenario, tick * p AS participation, f AS fee_factor, CAST(dl AS INTEGER) AS delay_ms FROM instruments, (VALUES ('base', 1.0::DOUBLE, 1.0::DOUBLE, 0), ('thin', 1.5::DOUBLE, 0.5::DOUBLE, 250)) t(s, f, p, dl)")
+@query("SELECT product || '+' || s AS model_id, s AS scenario, 0.5::DOUBLE * p AS participation, f AS fee_factor, sh AS mid_shift_ticks, CAST(dl AS INTEGER) AS delay_ms FROM instruments, (VALUES ('base', 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0), ('thin', 1.5::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE, 250)) t(s, f, sh, p, dl)")
 def stress_models(spark, d):
-    models = table(spark, d, "instruments").select(F.col("product").alias("model_id"), F.col("tick").alias("participation"))
+    models = table(spark, d, "instruments").select(F.col("product").alias("model_id"), F.lit(0.5).alias("participation"))
     return stress.stressed_models(models, stress.scenarios(spark, [("base", 1.0, 0.0, 1.0, 0), ("thin", 1.5, 2.0, 0.5, 250)]))
 
 
@@ -138,11 +138,11 @@ def hedge_residuals(spark, d):
     return out.select("pair_id", "quoted", "hedge", stress.hedge_target(q, wq, wh).alias("target"), stress.residual_risk(q, h, wq, wh).alias("residual"))
 
 
-@query("SELECT DISTINCT row_id, 'sha256:' || sha256(array_to_string(list_sort(list_distinct(CAST(json(coalesce(signals, '[]')) AS VARCHAR[]))), ',')) AS signal_set_hash FROM decisions")
+@query("SELECT DISTINCT row_id, 'sha256:' || sha256(CAST(to_json(list_sort(list_distinct(CAST(json(coalesce(signals, '[]')) AS VARCHAR[])))) AS VARCHAR)) AS signal_set_hash FROM decisions")
 def signal_set_hash(spark, d):
-    """Digest of the set of signals that a decision consumed, in whatever order it names them."""
+    """Digest of the canonical JSON of the set of signals that a decision consumed, in whatever order it names them."""
     ids = F.array_sort(F.array_distinct(F.coalesce(F.from_json("signals", "array<string>"), F.from_json(F.lit("[]"), "array<string>"))))
-    return table(spark, d, "decisions", "row_id", "signals").select("row_id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(ids, ","), 256)).alias("signal_set_hash")).distinct()
+    return table(spark, d, "decisions", "row_id", "signals").select("row_id", F.concat(F.lit("sha256:"), F.sha2(F.to_json(ids), 256)).alias("signal_set_hash")).distinct()
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL THEN 'no_quantity' WHEN value <= 0 THEN 'no_price' END AS issue FROM events""")

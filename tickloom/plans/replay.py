@@ -193,12 +193,22 @@ def illegal_transitions(spark, d):
     return rows.withColumn("before", before).where(~F.coalesce(legal, F.lit(False))).select("row_id", "before", "lifecycle_state")
 
 
-@query()
+@query("""SELECT date_trunc('minute', exchtime) AS batch_ts, count(*) AS n_rows, count(DISTINCT contract) AS n_products, count(DISTINCT contract) >= 2 AS complete FROM market_data WHERE exchtime IS NOT NULL GROUP BY 1
+ HAVING date_trunc('minute', exchtime) + INTERVAL 1 MINUTE <= (SELECT max(exchtime) FROM market_data) - INTERVAL 10 MINUTE""")
 def stream_batches(spark, d):
-    """Minute batches of the snapshot stream that the watermark has sealed."""
+    """Minute batches of the snapshot stream that the watermark has sealed, and whether they are complete."""
     return streams.run_to_table(streams.sealed(streams.table_stream(spark, d, "market_data"), "exchtime", "contract"))
 
 
+@query(f"""WITH r AS (SELECT order_id, row_id, occurred_at, lifecycle_state, filled_qty, row_number() OVER (PARTITION BY order_id ORDER BY occurred_at, row_id) AS n FROM order_records WHERE order_id IS NOT NULL AND occurred_at IS NOT NULL),
+ e AS (SELECT order_id, min(n) FILTER (lifecycle_state IN {lifecycle.FINAL}) AS stop, count(*) AS n_all, max(occurred_at) AS last_at FROM r GROUP BY 1)
+ SELECT r.order_id, coalesce(max(lifecycle_state) FILTER (r.n = e.stop), 'timed_out') AS state, count(*) AS n, CAST(coalesce(max(filled_qty), 0) AS BIGINT) AS filled FROM r JOIN e USING (order_id)
+ WHERE r.n <= coalesce(e.stop, e.n_all) AND (e.stop IS NOT NULL OR e.last_at + INTERVAL 30 MINUTE < (SELECT max(occurred_at) FROM order_records) - INTERVAL 10 MINUTE) GROUP BY 1""")
+def stream_orders(spark, d):
+    """Orders at their end, final or timed out, from the stream of their records."""
+    return streams.run_to_table(streams.order_ends(streams.table_stream(spark, d, "order_records")))
+
+
 @query("SELECT snapshot_id FROM snapshots WHERE exchange_ts IS NOT NULL GROUP BY 1")
 def stream_dedup(spark, d):
     """Snapshots of the stream once each, copies within the watermark left out (a table that is one file is one micro-batch)."""
