@@ -165,3 +165,28 @@ def test_files(spark, tmp_path):
     assert files.read_day_csv(spark, str(tmp_path / "csv"), "x long", days=["2000-01-01"]).count() == 0
     store = files.payload_store(spark.createDataFrame([("h", 1), ("h", 1), ("h", 2), (None, 3)], "h string, p int"), "h", ("p",))
     assert store.count() == 2 and files.collisions(store, "h").collect()[0].n_payloads == 2
+
+
+def test_prints_from_json(spark):
+    good = '{"taker_side":"buy","price":5,"quantity":1,"trade_id":"a"}'
+    texts = [None, "[]", f"[{good}]", f"[{good},{good}]", f'[{good.replace("buy", "hold")}]', '[{"taker_side":"sell","price":5,"quantity":1},{"taker_side":"sell","price":5,"quantity":1}]', "no list"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = {r.n: r.i for r in df.select("n", validation.normalised_trades(F.col("text"))["issue"].alias("i")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: "repeated_trade", 4: "invalid_trade", 5: None, 6: "not_a_list"}
+
+
+def test_books_under_stress(spark):
+    rows = [([100, 99], [101, 103], None), ([], [], None), ([100], [100], "crossed"), ([100, 100], [101], "bid_order"), ([99], [103, 102], "ask_order"), ([0], [1], "not_positive")]
+    df = spark.createDataFrame([(i, b, a) for i, (b, a, _) in enumerate(rows)], "n int, b array<bigint>, a array<bigint>")
+    assert {r.n: r.i for r in df.select("n", validation.book_issue(F.col("b"), F.col("a")).alias("i")).collect()} == {i: w for i, (_, _, w) in enumerate(rows)}
+    moved = df.where("n = 0").select(validation.stretched_levels(F.col("b"), F.lit(201), False).alias("b"), validation.stretched_levels(F.col("a"), F.lit(201), True).alias("a")).collect()[0]
+    assert moved.b == [99, 98] and moved.a == [102, 104]
+
+
+def test_calendar(spark):
+    windows = [(1, "09:00:00", "10:00:00"), (2, "21:00:00", "23:00:00")]
+    times = ["2024-01-25 09:00:00", "2024-01-25 10:00:00", "2024-01-25 21:30:00", "2024-01-26 09:30:00", "2024-01-28 21:30:00", "2024-01-29 09:30:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select("t", F.col("t").cast("timestamp_ntz").alias("at"))
+    win = clock.calendar_window(F.col("at"), windows, ("2024-01-29",), {"2024-01-26": "09:15:00"})
+    # The evening before a holiday belongs to it; after an early close there is no session.
+    assert {r.t: r.w for r in df.select("t", win.alias("w")).collect()} == dict(zip(times, [1, None, 2, None, None, None], strict=True))

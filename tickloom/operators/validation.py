@@ -80,3 +80,31 @@ def sealed_batches(df: DataFrame, batch: tuple[str, ...], time: str, product: st
 def row_hash(*columns: str) -> Column:
     """Digest of a row's fields; equal within this engine."""
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+TRADE = "array<struct<taker_side:string,price:long,quantity:long,trade_id:string>>"
+
+
+def normalised_trades(text: Column) -> Column:
+    """(trades, issue) of a JSON list of prints {taker_side, price, quantity, trade_id?}: ``not_a_list`` if it can't be read, ``invalid_trade`` if a side is
+    neither buy nor sell or a price or quantity is null or not positive, ``repeated_trade`` if an id is there twice. Null is an empty list."""
+    trades = F.from_json(F.coalesce(text, F.lit("[]")), TRADE)
+    bad = F.exists(trades, lambda t: ~F.coalesce(t["taker_side"].isin("buy", "sell") & (t["price"] > 0) & (t["quantity"] > 0), F.lit(False)))
+    ids = F.filter(F.transform(trades, lambda t: t["trade_id"]), lambda i: i.isNotNull())
+    issue = F.when(trades.isNull(), "not_a_list").when(bad, "invalid_trade").when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_trade")
+    return F.struct(trades.alias("trades"), issue.alias("issue"))
+
+
+def stretched_levels(levels: Column, twice_mid: Column, up: bool, fifths: int = 5) -> Column:
+    """Prices of a side (an array of whole ticks) moved away from the mid by ``fifths`` quarters of their distance, to the next tick outwards."""
+    moved = lambda p: (4 * twice_mid + fifths * (2 * p - twice_mid)) / 8
+    return F.transform(levels, lambda p: (F.ceil(moved(p)) if up else F.floor(moved(p))).cast("long"))
+
+
+def book_issue(bids: Column, asks: Column) -> Column:
+    """The first of not_positive, bid_order, ask_order, crossed that holds for a book in ticks, best level first; else null."""
+    rising = lambda levels, sign: F.exists(F.zip_with(F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: (a - b) * sign <= 0), lambda x: x)
+    return (
+        F.when(F.exists(F.concat(bids, asks), lambda p: p <= 0), "not_positive").when(rising(bids, -1), "bid_order").when(rising(asks, 1), "ask_order")
+        .when((F.size(bids) > 0) & (F.size(asks) > 0) & (F.try_element_at(bids, F.lit(1)) >= F.try_element_at(asks, F.lit(1))), "crossed")
+    )

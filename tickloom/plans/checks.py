@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ticks
-from tickloom.operators import cleaning, integrity
-from tickloom.plans import market
+from tickloom.functions.lineage import scratch
+from tickloom.operators import alignment, cleaning, integrity, validation
+from tickloom.plans import market, replay
 from tickloom.sources.tables import table
 
 QUERIES: dict[str, market.Q] = {}
@@ -204,8 +205,6 @@ def check_signals(spark, d):
  SELECT 'quote_off_depth' AS code, row_id AS related_id FROM m WHERE len(list_filter(CASE WHEN side = 'buy' THEN bids ELSE asks END, lambda p: abs(p - limit_price) < tick / 10)) = 0""")
 def check_quote_in_depth(spark, d):
     """Orders whose limit is none of the own side's levels of the latest book at their time."""
-    from tickloom.operators import alignment
-
     o = table(spark, d, "order_records").where("record_type = 'order_declared' and occurred_at is not null and limit_price is not null").select("row_id", F.col("product").alias("contract"), "occurred_at", "side", "limit_price").distinct()
     books = cleaning.keep_last(market.md(spark, d)).select("contract", "exchtime", F.col("row_id").alias("book"), "tick", *[F.array(*[f"{s}px{i}" for i in range(5)]).alias(f"{s}s") for s in ("bid", "ask")])
     m = alignment.asof_backward(o, books, "contract", "occurred_at", "exchtime", ("book", "tick", "bids", "asks"), "book").where("asof_book is not null")
@@ -230,3 +229,55 @@ def attribution(spark, d):
     sums = f.join(marks, "product").groupBy("product").agg(
         F.sum(F.expr("q * (mark - px)")).alias("total"), F.coalesce(F.sum(F.expr("q * (mark - ref)")), F.lit(0)).alias("price_move"), F.coalesce(F.sum(F.expr("q * (ref - px)")), F.lit(0)).alias("execution"), F.count_if(F.col("ref").isNull()).alias("unpriced"))
     return sums.withColumn("residual", F.expr("total - price_move - execution"))
+
+
+# Books under stress, prints, and rows that were written and read back.
+
+
+@query(market._MD + f""", b AS (SELECT row_id, list_transform({replay._LV('bid')}, lambda x: x.t) AS bids, list_transform({replay._LV('ask')}, lambda x: x.t) AS asks FROM kept),
+ m AS (SELECT row_id, bids, asks, bids[1] + asks[1] AS mm FROM b WHERE len(bids) > 0 AND len(asks) > 0),
+ s AS (SELECT row_id, list_transform(bids, lambda p: CAST(floor((4 * mm + 5 * (2 * p - mm)) / 8) AS BIGINT)) AS bids, list_transform(asks, lambda p: CAST(ceil((4 * mm + 5 * (2 * p - mm)) / 8) AS BIGINT)) AS asks FROM m),
+ j AS (SELECT row_id, CASE WHEN len(list_filter(bids || asks, lambda p: p <= 0)) > 0 THEN 'not_positive' WHEN len(list_filter(range(1, len(bids)), lambda i: bids[i + 1] >= bids[i])) > 0 THEN 'bid_order'
+  WHEN len(list_filter(range(1, len(asks)), lambda i: asks[i + 1] <= asks[i])) > 0 THEN 'ask_order' WHEN bids[1] >= asks[1] THEN 'crossed' END AS code FROM s)
+ SELECT code, row_id AS related_id FROM j WHERE code IS NOT NULL""")
+def check_stressed_books(spark, d):
+    """Books that are no valid ones after their levels were moved away from the mid by a quarter of their distance."""
+    rows = cleaning.keep_last(market.md(spark, d)).select("row_id", *[F.transform(market._book(s), lambda x: x["ticks"]).alias(f"{s}s") for s in ("bid", "ask")]).where("size(bids) > 0 and size(asks) > 0")
+    rows = rows.withColumn("mm", F.col("bids")[0] + F.col("asks")[0])
+    rows = rows.select("row_id", validation.stretched_levels(F.col("bids"), F.col("mm"), False).alias("bids"), validation.stretched_levels(F.col("asks"), F.col("mm"), True).alias("asks"))
+    return rows.select(validation.book_issue(F.col("bids"), F.col("asks")).alias("code"), F.col("row_id").alias("related_id")).where("code is not null")
+
+
+@query(f"""WITH t AS (SELECT f.order_id, f.fill_id, CASE WHEN f.position_delta > 0 THEN 'sell' ELSE 'buy' END AS side, CASE WHEN abs(f.px) < 1e11 THEN CAST(floor(f.px / i.tick + 0.5) AS BIGINT) END AS px, f.quantity AS q FROM {_F} f JOIN instruments i USING (product) WHERE f.order_id IS NOT NULL)
+ SELECT order_id, count(*) AS n_trades, CAST(sum(q) AS BIGINT) AS quantity, CASE WHEN bool_or(NOT coalesce(px > 0 AND q > 0, false)) THEN 'invalid_trade' WHEN count(DISTINCT fill_id) < count(fill_id) THEN 'repeated_trade' END AS issue FROM t GROUP BY 1""")
+def trades_normalised(spark, d):
+    """The prints of each order from their JSON list, with what is wrong with it."""
+    i = table(spark, d, "instruments", "product", "tick")
+    f = _once(spark, d, "fills").where("order_id is not null").join(F.broadcast(i), "product")  # 60 fixed rows
+    one = F.struct(F.when(F.col("position_delta") > 0, "sell").otherwise("buy").alias("taker_side"), ticks.in_ticks(F.col("px"), F.col("tick")).alias("price"), F.col("quantity"), F.col("fill_id").alias("trade_id"))
+    lists = f.groupBy("order_id").agg(F.to_json(F.collect_list(one)).alias("text"))  # an order's fills
+    read = lists.select("order_id", validation.normalised_trades(F.col("text")).alias("r"))
+    return read.select("order_id", F.size("r.trades").cast("long").alias("n_trades"), F.aggregate("r.trades", F.lit(0).cast("long"), lambda n, t: n + t["quantity"]).alias("quantity"), F.col("r.issue").alias("issue"))
+
+
+@query(f"""SELECT row_id, 'sha256:' || sha256('{{"decision_id":"' || decision_id || '","feed_seq":' || feed_seq || ',"row_id":"' || row_id || '"}}') AS digest FROM {_D} WHERE decision_id IS NOT NULL AND feed_seq IS NOT NULL""")
+def rows_read_back(spark, d):
+    """Decisions emitted as canonical JSON (keys in order, no blanks) and read back: the digest is of the very text that is parsed."""
+    rows = _once(spark, d, "decisions").where("decision_id is not null and feed_seq is not null").select("decision_id", "feed_seq", "row_id")
+    path = scratch(spark)
+    rows.select(F.to_json(F.struct("decision_id", "feed_seq", "row_id"))).write.text(path)
+    return spark.read.text(path).select(F.from_json("value", "row_id string")["row_id"].alias("row_id"), F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("digest"))
+
+
+_SEALED = {"decisions": ("row_id", "decision_id", "feed_seq"), "fills": ("fill_id", "order_id", "quantity"), "order_records": ("row_id", "lifecycle_state", "filled_qty")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS artifact, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256({' || chr(124) || '.join(f'coalesce(CAST({c} AS VARCHAR), chr(45))' for c in cols)}), 1, 8) AS BIGINT)) AS BIGINT) AS digest_sum FROM {t}" for t, cols in _SEALED.items()))
+def sealed_tables(spark, d):
+    """A manifest of tables: rows and the sum of their digests' first 32 bits, whatever the order of the rows."""
+    out = None
+    for name, columns in _SEALED.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        one = table(spark, d, name, *columns).agg(F.count("*").alias("n_rows"), F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")).alias("digest_sum")).withColumn("artifact", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
