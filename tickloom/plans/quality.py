@@ -195,8 +195,24 @@ SELECT DISTINCT l.row_id, l.field FROM cases c JOIN seq s ON c.contract IS NOT D
 JOIN long l ON l.contract IS NOT DISTINCT FROM s.contract AND l.d = s.d AND l.field = s.field AND l.t = s.t AND l.v IS NOT NULL
 """
 
+_KINDS = (
+    _IMPLAUSIBLE.replace("cases AS (SELECT contract, d, field, n FROM", "cases AS (SELECT contract, d, field, n, 'impossible' AS kind FROM").replace("UNION SELECT * FROM hits", "UNION SELECT contract, d, field, n, 'spike' FROM hits")
+    .replace("unnest(range(n1 + 1, n2 + 1)) FROM lively", "unnest(range(n1 + 1, n2 + 1)), 'stuck' FROM lively").replace("SELECT DISTINCT l.row_id, l.field FROM cases c", "SELECT contract, field, kind, count(*) AS n FROM (SELECT DISTINCT l.row_id, l.contract, l.field, c.kind FROM cases c")
+    + ") GROUP BY 1, 2, 3"
+)
+
+
+def _value(i: int, c: str) -> str:
+    text, kind = f"nullif(g[{i + 1}], '')", _kind(c)
+    if kind == "clock":
+        return f"CAST(left({text}, 26) AS TIMESTAMP)"
+    return f"CAST({text} AS {'INTEGER' if kind == 'int' else 'BIGINT' if kind == 'long' else 'DOUBLE'})"
+
+
 SQL: dict[str, str] = {
     "p1_found": _IMPLAUSIBLE,
+    "p1_report": _KINDS,
+    "p5_loaded": _LINES + ", fine_lines AS (SELECT f.line_id, f.g FROM fields f JOIN judged j USING (line_id) WHERE j.reason IS NULL) SELECT line_id, raw_file_id, raw_row_ordinal, " + ", ".join(f'{_value(i, c)} AS "{c}"' for i, c in enumerate(raw_lines.COLUMNS)) + " FROM fine_lines JOIN raw_lines USING (line_id)",
     "p2_found": _SLOTS + "SELECT contract, slot, field FROM long WHERE value IS NULL",
     "p2_values": _SLOTS + "SELECT contract, slot, field, value FROM long",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_field, row_key, status FROM judged WHERE status IS NOT NULL",
