@@ -14,6 +14,7 @@ from tickloom.kernel.positions import Position
 from tickloom.kernel.queue import Fill, QueueMarket, Tick
 from tickloom.kernel.quoting import flatten, hedge, requote, unwind
 from tickloom.kernel.spark import hysteresis_trades, position_costs, replay
+from tickloom.plans.replay import ledger_checks
 
 
 def test_position():
@@ -220,3 +221,13 @@ def test_a_policy_of_ones_own(spark):
         return lambda n, tick, market, position, tradable: market.place(1, 100, every) if n == 0 else None
 
     assert replay(df, [{"combo": 7, "every": 2}], policy=watcher).count() == 0
+
+
+def test_ledger_checks_find_what_is_wrong(spark):
+    day = dt.date(2024, 1, 25)
+    good = [("maker", "quoted", 2, "filled", 2, 0), ("hedge", "hedge", -2, "filled", 2, -2), ("eod", "quoted", -2, "filled", 0, -2), ("eod", "hedge", 2, "filled", 0, 0), ("end", None, 0, "flat", 0, 0)]
+    ledgers = {"good": good, "sum": [*good[:1], ("hedge", "hedge", -2, "filled", 2, -1), *good[2:]], "open": good[:4], "not_flat": [*good[:3], ("end", None, 0, "flat", 0, -2)], "strange": [("maker", "hedge", 2, "filled", 0, 2), ("end", None, 0, "incomplete_liquidity", 0, 2)]}
+    rows = [(name, day, i, leg, source, delta, status, q, h) for name, led in ledgers.items() for i, (source, leg, delta, status, q, h) in enumerate(led)]
+    df = spark.createDataFrame(rows, "pair_id string, day date, seq int, leg string, source string, delta long, status string, quoted_pos long, hedge_pos long")
+    got = {(r.code, r.related_id.split(":")[0]) for r in ledger_checks(df).collect()}
+    assert got == {("running_position", "sum"), ("one_end", "open"), ("flat_is_flat", "not_flat"), ("source", "strange")}

@@ -153,11 +153,10 @@ def pair_replay(spark, d):
     return _pair_ledger(spark, d)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS related_id WHERE false")
-def replay_invariants(spark, d):
-    """Checks of that ledger, none of which may find anything: running positions are the sums of the effects, every day of a pair
+def ledger_checks(led: DataFrame) -> DataFrame:
+    """(code, related_id) where a pair's ledger contradicts itself: running positions are the sums of the effects, every day of a pair
     ends once, flat days have no position, and effects come from the sources there are."""
-    led = _pair_ledger(spark, d).withColumn("id", F.concat_ws(":", "pair_id", "day", "seq"))
+    led = led.withColumn("id", F.concat_ws(":", "pair_id", "day", "seq"))
     w = Window.partitionBy("pair_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     run = led.withColumns({f"{leg}_sum": F.sum(F.when(F.col("leg") == leg, F.col("delta")).otherwise(0)).over(w) for leg in ("quoted", "hedge")})
     run = run.withColumn("ends", F.sum((F.col("source") == "end").cast("int")).over(Window.partitionBy("pair_id", "day")))
@@ -169,6 +168,12 @@ def replay_invariants(spark, d):
     ])
 
 
+@query("SELECT CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS related_id WHERE false")
+def replay_invariants(spark, d):
+    """Checks of the replay's ledger, none of which may find anything."""
+    return ledger_checks(_pair_ledger(spark, d))
+
+
 @query()
 def replay_pnl(spark, d):
     """PnL of the replay per pair: cash of both legs in the quoted leg's tick value, open positions marked at the last price of their leg."""
