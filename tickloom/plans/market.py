@@ -175,7 +175,8 @@ def stressed_quotes(spark, d):
     return rows.select("row_id", F.floor(F.col("ask") * 1.25).alias("wide"), F.ceil(F.col("ref") + (F.col("ask") - F.col("ref")) * 1.5).alias("ask_stressed"), F.floor(F.col("ref") + (F.col("bid") - F.col("ref")) * 1.5).alias("bid_stressed"))
 
 
-@query()
+@query(_MD + """, t AS (SELECT row_id, lastpx AS px, tick, CAST(round(tick * 1000000) AS HUGEINT) AS u, CASE WHEN abs(lastpx) < 1e11 THEN CAST(round(lastpx * 1000000) AS HUGEINT) END AS p FROM md),
+ s AS (SELECT *, CAST((CASE WHEN p < 0 THEN -1 ELSE 1 END) * ((2 * abs(p) + u) // (2 * u)) * u AS DOUBLE) / 1000000 AS on_grid FROM t) SELECT row_id, CASE WHEN abs(on_grid - px) <= tick / 10 THEN on_grid ELSE px END AS snapped FROM s WHERE abs(px) < 1e9""")
 def tick_snap(spark, d):
     """Last prices on the tick grid (half up in decimal), where no more than a tenth of a tick off."""
     rows = md(spark, d).where(F.abs("lastpx") < 1e9)
